@@ -1 +1 @@
-
+"""Column functions: every one stays inside the JVM."""

@@ -1 +1 @@
-
+"""Operators over whole documents."""

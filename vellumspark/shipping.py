@@ -29,3 +29,17 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers have this package."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def entity_decoder():
+    """HTML entities by Python's table, in Arrow batches."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    def decode(s: pd.Series) -> pd.Series:
+        import html
+
+        return s.map(html.unescape, na_action="ignore")
+
+    decode.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(decode, "string")

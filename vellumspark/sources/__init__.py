@@ -1 +1 @@
-
+"""Files as DataFrames of canonical text."""

@@ -1 +1 @@
-
+"""Folders that change."""
