@@ -12,7 +12,11 @@ from ..functions.text import doc_type, let, needs_signatures, style_for, trimmed
 
 #: Letters of the fold: content, consumed title, and headings by level.
 CONTENT, TITLE, LEVELS = "c", "t", "1234"
-STRINGS = ("subtitle", "date", "type", "style", "summary", "author", "logo", "header-left", "header-right", "footer-left", "footer-right", "margin-top", "margin-bottom", "margin-left", "margin-right")
+#: The record's fields, in order.
+FIELDS = (
+    *("title", "subtitle", "date", "version", "status", "doc_type", "style", "summary", "author", "language", "classification", "toc", "no_title_page", "has_signatures", "font_size"),
+    *("header_left", "header_right", "footer_left", "footer_right", "margin_top", "margin_bottom", "margin_left", "margin_right", "logo", "raw_preamble", "sections", "footnotes"),
+)
 EMPTY_MAP = "cast(map() as map<string,string>)"
 
 

@@ -11,7 +11,7 @@ from ..functions.latex import escape_latex
 from ..functions.text import class_label, first_filled, is_blank, known_style, let, section_command, status_color
 from ..shipping import ship
 from .blocks import latex_bodies
-from .markdown import show_toc
+from .markdown import FIELDS, show_toc
 from .styles import STYLES, Style
 
 PACKAGES = "\n".join(rf"\usepackage{{{p}}}" for p in ("fontspec", "setspace", "graphicx", "tabularx", "booktabs", "xcolor", "listings", "tcolorbox", "amssymb", "tocloft", "fancyhdr", "lastpage", "hyperref"))
@@ -40,20 +40,18 @@ class Options:
 
 
 def with_options(doc: Column, o: Options) -> Column:
-    """The record with overrides; type and signature detection are not run again."""
-    for name in ("style", "title", "subtitle", "author", "language", "date", "summary"):
-        if getattr(o, name):
-            doc = doc.withField(name, F.lit(getattr(o, name)))
-    for name in ("status", "classification"):
-        if getattr(o, name):
-            doc = doc.withField(name, F.lit(getattr(o, name).upper()))
+    """The record with overrides; type and signature detection are not run again.  The record is bound once."""
+    given: dict[str, Column] = {n: F.lit(v) for n in ("style", "title", "subtitle", "author", "language", "date", "summary") if (v := getattr(o, n))}
+    given |= {n: F.lit(v.upper()) for n in ("status", "classification") if (v := getattr(o, n))}
     if o.toc is not None:
-        doc = doc.withField("toc", F.lit(o.toc))
+        given["toc"] = F.lit(o.toc)
     if o.no_title_page:
-        doc = doc.withField("no_title_page", F.lit(True))
+        given["no_title_page"] = F.lit(True)
     if o.no_signatures:
-        doc = doc.withField("has_signatures", F.lit(False))
-    return doc.withField("font_size", F.lit(o.font_size)) if o.font_size > 0 else doc
+        given["has_signatures"] = F.lit(False)
+    if o.font_size > 0:
+        given["font_size"] = F.lit(o.font_size)
+    return let(doc, lambda d: F.struct(*(given.get(f, d[f]).alias(f) for f in FIELDS))) if given else doc
 
 
 def line(*parts: Column | str) -> Column:
