@@ -19,7 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from .common import map_arrow
+
 
 #: Words a worker remembers, and characters of text encoded at a time.
 CACHE_WORDS = 400_000

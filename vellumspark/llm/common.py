@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -13,11 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from .. import shipping
 
 #: Rows up to which a table written beforehand may be broadcast; its rows here are a few fixed-width columns.
 BROADCAST_ROWS = 1_000_000
 SETTING = "spark.checkpoint.dir"
+#: Bytes of an Arrow batch while tables are written.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+#: What workers call at the end of a task.
+CACHES: list[Callable[[], None]] = []
 _own: dict[str, str] = {}
 
 
@@ -43,11 +49,26 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/vellum/{tag}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python in Arrow batches of a few MB while plans are made and run in here, so that a task holds little beside its group."""
+    before = spark.conf.get(BATCH_SETTING, None)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH_SETTING)
+        else:
+            spark.conf.set(BATCH_SETTING, before)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._vellum_path = path  # type: ignore[attr-defined]
     return out
@@ -156,6 +177,28 @@ def grouped(df: DataFrame, keys: list[str], compute: Callable[[pa.Table], pa.Rec
     return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers have this package and, idle between tasks, hold no memory that they do not need."""
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return shipping.map_arrow(df, lean, schema)
+
+
+def release() -> None:
+    """Give what caches and memory pools hold back to the machine."""
+    for clear in CACHES:
+        clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n indices over the links a-b."""
     root = np.arange(n)
@@ -171,9 +214,3 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             break
         root = new
     return root
-
-
-def env_single_thread() -> None:
-    """Native libraries use the task's one core."""
-    for k in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS"):
-        os.environ.setdefault(k, "false" if k.startswith("TOK") else "1")

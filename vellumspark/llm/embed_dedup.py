@@ -15,9 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
 from .blocks import block_rows, linked
-from .common import bounded, components, discard, local_roots, materialise
+from .common import bounded, components, discard, local_roots, map_arrow, materialise
 
 THRESHOLD, WINDOW, BITS, RECALL, SEED = 0.9, 64, 48, 0.95, 11
 #: Vectors of a group that a task compares at a time, on either side.

@@ -17,9 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
 from .blocks import block_rows, linked
-from .common import bounded, components, discard, materialise
+from .common import CACHES, bounded, components, discard, map_arrow, materialise
 
 WORDS, SAMPLES, DEPTH, LIMIT, RECALL, SEED = 5, 64, 4, 64, 0.999, 23
 #: Threshold 0.8 as a fraction, so that it is compared in whole numbers.
@@ -28,7 +27,7 @@ OVER, UNDER = 4, 5
 MIN_EQUAL = int(SAMPLES * (0.8 - 4 * math.sqrt(0.8 * 0.2 / SAMPLES)))
 #: Rows of a block on either side: of samples, of whole shingle sets.
 BLOCK_SAMPLES, BLOCK_SETS = 256, 256
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 _rng = np.random.default_rng(SEED)
 MULTIPLY = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,6 +44,7 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+CACHES.append(_words.clear)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -18,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
 from .bpe import byte_letters
-from .common import grouped, materialise
+from .common import grouped, map_arrow, materialise
 
 CAPACITY = 1024
 #: Tokens of its class's share that a rest may leave empty before it is cut once more.

@@ -13,8 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
-from .common import bounded, discard, materialise
+from .common import bounded, discard, map_arrow, materialise
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
