@@ -179,4 +179,6 @@ def test_encode_and_decode_documents(spark, library):
     rows = sorted(bpe.decode_documents(bpe.encode_documents(docs(spark, *texts), path), path).collect(), key=lambda r: r["id"])
     for r, t in zip(rows, texts, strict=True):
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids and r["text"] == (t or "")
-    assert bpe.encode_documents(docs(spark, "x").limit(0), path).collect() == []
+    once = sorted(bpe.round_trip(docs(spark, *texts), path).collect(), key=lambda r: r["id"])
+    assert once == rows
+    assert bpe.encode_documents(docs(spark, "x").limit(0), path).collect() == [] == bpe.round_trip(docs(spark, "x").limit(0), path).collect()

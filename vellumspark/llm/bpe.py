@@ -7,7 +7,6 @@ Met words are kept in a bounded cache; a text's ids are the joined bytes of its
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -22,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 
-#: Words a worker remembers, and characters of text encoded at a time.
-CACHE_WORDS = 400_000
-BATCH_CHARS = 2_000_000
+#: Words that a worker remembers, and characters of text encoded at a time.
+CACHE_WORDS = 200_000
+BATCH_CHARS = 500_000
+#: Rows of a batch that a worker gives back.
+EMIT_ROWS = 500
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A space that does not start a word of its own: the text is then cut by the slower rule.
 ODD_SPACE = re.compile(r" (?:\s|\Z)")
@@ -211,5 +212,16 @@ def decode_documents(df: DataFrame, path: str, id_col: str = "id", ids_col: str
     return map_arrow(src, run, f"id {src.schema['id'].dataType.simpleString()}, ids binary, text string")
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids, text): :func:`encode_documents` and :func:`decode_documents` in one worker, a document at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for b in batches:
+            for at in range(0, b.num_rows, EMIT_ROWS):
+                part = b.slice(at, EMIT_ROWS)
+                ids = list(c.encode([t or "" for t in part.column("text").to_pylist()]))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary()), pa.array(map(c.decode, ids), pa.string())], ["id", "ids", "text"])
+
+    src = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return map_arrow(src, run, f"id {src.schema['id'].dataType.simpleString()}, ids binary, text string")

@@ -115,9 +115,7 @@ SELECT cls.doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, cl
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    ids = bpe.encode_documents(read(spark, sf_dir, "documents"), path)
-    back = bpe.decode_documents(ids, path)
+    back = bpe.round_trip(read(spark, sf_dir, "documents"), vocabulary())
     return back.select(F.col("id").alias("doc_id"), F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
