@@ -425,6 +425,32 @@ over("latex_error_summary", synth.LOG, {"summary": lambda: text.error_summary(c(
 QUOTED = "SELECT o_orderkey AS id, '> one_' || CAST(o_orderkey AS STRING) || chr(10) || '>two' || chr(10) || '> ' || o_orderpriority AS block FROM {orders}"
 over("quote_box", QUOTED, {"x": lambda: latex.quote_box(F.split("block", "\n"), notes())}, f"{q(chr(92) + 'begin{quotebox}' + chr(10))} || {escape_sql('array_to_string(list_transform(string_split(block, chr(10)), lambda v: regexp_replace(regexp_replace(%s, %s, %s), %s, %s)), chr(10) || chr(10))' % (trim_('v'), q('^> '), q(''), q('^>'), q('')))} || {q(chr(10) + chr(92) + 'end{quotebox}')} AS x")
 
+ROW_BOLD = sub(sub(escape_sql("v"), r"\*\*(.+?)\*\*", r"\\textbf{\1}"), r"\*(.+?)\*", r"\\textit{\1}")
+add(
+    "table_rows_to_latex",
+    lambda spark, d: synth.frame(spark, d, synth.LINES).where(latex.is_table_row(text.trimmed(c("line"))) & ~latex.is_separator(text.trimmed(c("line")))).select("id", *(latex.table_row(latex.table_cells(text.trimmed(c("line"))), h, notes()).alias(n) for n, h in (("head", True), ("body", False)))),
+    f"SELECT id, array_to_string(list_transform({CELLS_SQL}, lambda v: {q(chr(92) + 'textbf{')} || {ROW_BOLD} || '}}'), ' & ') AS head, array_to_string(list_transform({CELLS_SQL}, lambda v: {ROW_BOLD}), ' & ') AS body FROM {synth.duck(synth.LINES)} t WHERE starts_with({T}, '|') AND ends_with({T}, '|') AND NOT regexp_full_match({T}, {q(chr(92) + '|[-' + GAP[1:-1] + '|:]+' + chr(92) + '|')})",
+)
+
+
+def xlsx_to_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """A workbook a region, its nations in a sheet, read back from the file's bytes."""
+    from ..sources.workbook import workbook, workbook_markdown
+
+    ship(spark)
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda n: F.concat(n["n_nationkey"].cast("string"), F.lit("|"), n["n_name"])), "\n")
+    books = spark.read.parquet(f"{d}/nation.parquet").groupBy(c("n_regionkey").alias("id")).agg(synth.workbook_bytes()(rows).alias("content"))
+    path = F.concat(F.lit("/x/region_"), c("id").cast("string"), F.lit(".xlsx"))
+    return books.select("id", workbook(c("content")).alias("book")).select("id", workbook_markdown(c("book"), path, F.lit("/x")).alias("md"))
+
+
+add(
+    "xlsx_to_markdown",
+    xlsx_to_markdown,
+    """SELECT n_regionkey AS id, '---' || chr(10) || 'title: Region ' || CAST(n_regionkey AS STRING) || chr(10) || 'style: report' || chr(10) || '---' || chr(10) || chr(10) || '## Nations' || chr(10) || chr(10) || '| key | name |' || chr(10) || '| --- | --- |' || chr(10)
+|| string_agg('| ' || CAST(n_nationkey AS STRING) || ' | ' || n_name || ' |' || chr(10), '' ORDER BY n_nationkey) || chr(10) || '*' || CAST(count(*) AS STRING) || ' rows, 2 columns*' || chr(10) || chr(10) AS md FROM nation GROUP BY n_regionkey""",
+)
+
 
 def render_latex(spark: SparkSession, d: str) -> DataFrame:
     return render.rendered(md_docs(spark, d), generated_date="2024-01-01").select("id", c("doc.style").alias("style"), "latex")

@@ -73,6 +73,31 @@ TEXT = f"""SELECT o_orderkey AS id, '/t/plain_' || {K} || '.txt' AS path, CASE W
   CASE WHEN o_orderkey % 4 = 0 THEN 'ABC' || {NL} || {NL} || {NL} || 'x' WHEN o_orderkey % 4 = 1 THEN '    last' WHEN o_orderkey % 4 = 2 THEN '---' || {NL} || 'AB' ELSE '' END AS content FROM {{orders}}"""
 
 
+def workbook_bytes():
+    """A column function: lines of cells parted by pipes to the bytes of a workbook with a sheet of a header and these rows."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    def build(s: pd.Series) -> pd.Series:
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        def book(text: str) -> bytes:
+            grid = [["key", "name"], *(x.split("|") for x in text.split("\n"))]
+            cells = "".join(f'<row r="{i}">' + "".join(f'<c r="{chr(65 + j)}{i}" t="inlineStr"><is><t>{escape(v)}</t></is></c>' for j, v in enumerate(r)) + "</row>" for i, r in enumerate(grid, 1))
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as z:
+                z.writestr("xl/workbook.xml", '<workbook><sheets><sheet name="Nations" sheetId="1"/></sheets></workbook>')
+                z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{cells}</sheetData></worksheet>")
+            return out.getvalue()
+
+        return s.map(book)
+
+    build.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(build, "binary")
+
+
 TABLE = re.compile(r"\{(orders)\}")
 
 
