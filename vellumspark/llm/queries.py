@@ -79,6 +79,17 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) AND list_cosine_similarity(p.e, q.e) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+grp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
+SELECT grp.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, component_id = grp.vec_id AS kept FROM grp LEFT JOIN deg ON grp.vec_id = deg.vec_id
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -125,4 +136,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_packing, op3_warc, op4_url_filter, op5_pii, op6_embedding_dedup, op7_line_dedup, op8_ngram_jaccard, op9_bpe, op10_quality)}
-ORACLES = {"op3_warc": OP3_SQL, "op7_line_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL}
+ORACLES = {"op3_warc": OP3_SQL, "op6_embedding_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL, "op8_ngram_jaccard": OP8_SQL}
