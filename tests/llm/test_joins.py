@@ -146,3 +146,25 @@ def test_copies_have_no_pairs(spark):
     df = spark.createDataFrame([(i, "the same words in every single document") for i in range(500)], "doc_id long, text string")
     got = jaccard_join.similar_texts(df).agg(F.min("n_links"), F.max("n_links"), F.max("class_id"), F.sum(F.col("kept").cast("int"))).first()
     assert tuple(got) == (499, 499, 0, 1)
+
+
+def test_cores_of_tight_groups_are_counted_without_pairs(spark, monkeypatch):
+    from vellumspark.llm import blocks
+
+    monkeypatch.setattr(blocks, "CORE_FROM", 10)
+    monkeypatch.setattr(blocks, "CORE_SAMPLE", 20)
+    texts = corpus()
+    links = brute_texts(texts)
+    degree = np.bincount(np.array(links).ravel(), minlength=len(texts))
+    root = closure(range(len(texts)), links)
+    rows = jaccard_join.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == {i: (root[i], degree[i]) for i in root}
+    rng = np.random.default_rng(9)
+    vectors = []
+    for spread in (0.01, 0.1, 0.3):
+        base = rng.standard_normal(12)
+        vectors += [list(map(float, base + spread * rng.standard_normal(12))) for _ in range(60)]
+    pairs = brute_vectors(vectors)
+    degree = np.bincount(np.array(pairs).ravel(), minlength=len(vectors))
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in range(len(vectors))] == degree.tolist()

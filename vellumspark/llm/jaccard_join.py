@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_rows, linked
+from .blocks import verified
 from .common import CACHES, bounded, components, discard, map_arrow, materialise
 
 WORDS, SAMPLES, DEPTH, LIMIT, RECALL, SEED = 5, 64, 4, 64, 0.999, 23
@@ -146,6 +146,23 @@ def alike(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(same >= MIN_EQUAL)
 
 
+def modal(t: pa.Table) -> bytes:
+    """The most frequent value of each sample."""
+    sig = t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES)
+    out = np.empty(SAMPLES, np.int32)
+    for k in range(SAMPLES):
+        values, counts = np.unique(sig[:, k], return_counts=True)
+        out[k] = values[counts.argmax()]
+    return out.tobytes()
+
+
+def agreeing(b: pa.RecordBatch) -> list[bool]:
+    """Whether texts differ from the pivot in so few samples that any two of them are candidates."""
+    sig = b.column("sig").flatten().to_numpy().reshape(-1, SAMPLES)
+    pivot = np.frombuffer(b"".join(b.column("pivot").to_pylist()), np.int32).reshape(-1, SAMPLES)
+    return (2 * (sig != pivot).sum(axis=1) <= SAMPLES - MIN_EQUAL).tolist()
+
+
 def overlapping(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Pairs whose shingle sets have a Jaccard similarity of at least 4/5, counted exactly."""
     sets = [[np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()] for t in (x, y)]
@@ -176,6 +193,22 @@ def overlapping(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(UNDER * both >= OVER * (sizes[0][:, None] + sizes[1][None, :] - both))
 
 
+def consensus(t: pa.Table) -> bytes:
+    """The shingles that most of the texts have, sorted."""
+    values, counts = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]), return_counts=True)
+    return values[2 * counts > t.num_rows].tobytes()
+
+
+def close_to(b: pa.RecordBatch) -> list[bool]:
+    """Whether texts are within half the linking distance of the pivot: a similarity of 9/10 for one of 4/5."""
+    out = []
+    for s, p in zip(b.column("set").to_pylist(), b.column("pivot").to_pylist(), strict=True):
+        x, y = np.frombuffer(s, np.uint64), np.frombuffer(p, np.uint64)
+        both = np.intersect1d(x, y, assume_unique=True).size
+        out.append((2 * UNDER - 1) * (x.size + y.size - both) <= 2 * UNDER * both)
+    return out
+
+
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, members: DataFrame) -> DataFrame:
     """(rep, grp, size, copies, set) of the texts that are ``members`` (rep, doc, k1, k2, grp, size, copies)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -198,25 +231,27 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Equal texts are one text with copies.  A text of fewer than five words is one shingle; a text without words, or null, links with nothing, equal ones
     included.  Rows that share an id and a text are copies.  Other columns are not read; an empty table gives an empty result.
     """
-    rows = materialise(signatures(df, id_col, text_col), "signatures").withColumn("uid", F.xxhash64("doc_id", "k1", "k2"))
-    # the copy with the smallest id stands for a text; its number is made from what it holds, so that it is the same in every run
+    rows = materialise(signatures(df, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "signatures")
+    # the copy with the smallest id stands for a text
     first = rows.where("size > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "uid")).alias("r"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
     texts = materialise(first.select("k1", "k2", F.col("r.uid").alias("rep"), F.col("r.doc_id").alias("doc"), "copies", "sig"), "texts")
     met = buckets(texts, runs_for(recall))
-    cand = block_rows(met, "path", "n", "rep", BLOCK_SAMPLES, ["rep"]).join(texts.select("rep", "sig"), "rep")
-    stars = linked(cand, "path", "rep", None, alike).select(F.col("rep").alias("u"), F.col("root").alias("v"))
+    cand = materialise(met.join(texts.select("rep", "sig"), "rep").withColumn("one", F.lit(1).cast("long")), "bucketed")
+    stars = verified(cand, "path", "n", "rep", "one", BLOCK_SAMPLES, ["rep", "sig", "one"], alike, modal, agreeing).select(F.col("rep").alias("u"), F.col("root").alias("v"))
     groups = materialise(components(stars).select(F.col("node").alias("rep"), F.col("root").alias("grp")), "candidate_groups")
     sizes = materialise(groups.groupBy("grp").agg(F.count("*").alias("size")), "group_sizes")
     members = materialise(groups.join(bounded(sizes), "grp").join(texts.drop("sig"), "rep"), "members")
-    discard(groups, sizes)
-    sets = shingle_sets(df, id_col, text_col, members)
-    checked = materialise(linked(block_rows(sets, "grp", "size", "rep", BLOCK_SETS, ["rep", "copies", "set"]), "grp", "rep", "copies", overlapping), "checked")
+    discard(groups, sizes, cand)
+    sets = materialise(shingle_sets(df, id_col, text_col, members), "sets")
+    if sets.count() > members.count():  # rows that repeat an id and its text
+        sets = materialise(sets.dropDuplicates(["rep"]), "sets")
+    checked = materialise(verified(sets, "grp", "size", "rep", "copies", BLOCK_SETS, ["rep", "copies", "set"], overlapping, consensus, close_to), "checked")
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(checked.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "root")
     known = materialise(texts.drop("sig").join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "known")
     least = materialise(known.groupBy("root").agg(F.min("doc").alias("class_id")), "least")
     classed = materialise(known.join(least, "root").select("k1", "k2", "class_id", "doc", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    discard(checked, known, least, members)
+    discard(checked, known, least, members, sets)
     out = rows.select("doc_id", "k1", "k2").join(classed, ["k1", "k2"], "left")
     own = F.coalesce("class_id", "doc_id")
     return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(own).alias("kept"))
