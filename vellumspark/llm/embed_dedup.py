@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_rows, linked
+from .blocks import verified
 from .common import bounded, components, discard, local_roots, map_arrow, materialise
 
 THRESHOLD, WINDOW, BITS, RECALL, SEED = 0.9, 64, 48, 0.95, 11
@@ -126,20 +126,26 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     stars = window_stars(rows.repartitionByRange("pass", "dim", "key", "uid").sortWithinPartitions("pass", "dim", "key", "uid"), threshold, window)
     found = materialise(components(stars).select(F.col("node").alias("uid"), F.col("root").alias("grp")), "groups")
     sizes = materialise(found.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
-    members = found.join(bounded(sizes), "grp").join(table.select("uid", "dim", "v"), "uid")
-    parts = block_rows(members, "grp", "size", "uid", PER_BLOCK, ["uid", "dim", "v"])
+    members = materialise(found.join(bounded(sizes), "grp").join(table.select("uid", "dim", "v"), "uid").withColumn("one", F.lit(1).cast("long")), "members")
+    vectors = lambda t: np.frombuffer(b"".join(t.column("v").to_pylist()), "<f8").reshape(t.num_rows, -1)
+    half = math.cos(math.acos(threshold) / 2 - 1e-9)
 
     def linker(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        dim = x.column("dim")[0].as_py()
-        a, b = (np.frombuffer(b"".join(t.column("v").to_pylist()), "<f8").reshape(-1, dim) for t in (x, y))
-        return np.nonzero(a @ b.T >= threshold)
+        return np.nonzero(vectors(x) @ vectors(y).T >= threshold)
 
-    counted = materialise(linked(parts, "grp", "uid", None, linker), "counted")
+    def middle(t: pa.Table) -> bytes:
+        total = vectors(t).sum(axis=0)
+        return (total / max(float(np.linalg.norm(total)), 1e-300)).tobytes()
+
+    def near(b: pa.RecordBatch) -> list[bool]:
+        return [bool(np.frombuffer(v, "<f8") @ np.frombuffer(p, "<f8") >= half) for v, p in zip(b.column("v").to_pylist(), b.column("pivot").to_pylist(), strict=True)]
+
+    counted = materialise(verified(members, "grp", "size", "uid", "one", PER_BLOCK, ["uid", "v", "one"], linker, middle, near), "counted")
     links = counted.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(counted.select(F.col("uid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("uid"), "root")
     placed = materialise(table.select("uid", "vec_id").join(links, "uid", "left").join(roots, "uid", "left").select("uid", "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "root"), "placed")
     least = materialise(placed.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least")), "least")
     out = placed.join(bounded(least), "root", "left")
     own = F.coalesce("least", "vec_id")
-    discard(found, sizes, counted)
+    discard(found, sizes, counted, members)
     return out.select("vec_id", "n_links", own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
