@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank, let, replace_each, steps, trimmed
+from .text import let, replace_each, steps, trimmed
 
 #: Symbols that fonts lack: all beyond U+1F000, some blocks, and other symbols above Latin-1.
 EMOJI = r"[\x{1F001}-\x{10FFFF}\x{2600}-\x{27BF}\x{2B50}-\x{2B55}\x{FE00}-\x{FE0F}\x{200D}]|[\p{So}&&[^\x{0}-\x{FF}]]"
@@ -184,7 +184,3 @@ def task_mark(line: Column) -> Column:
 def list_depth(line: Column) -> Column:
     lead = F.regexp_extract(line, "^([ \t]*)", 1)
     return F.floor((F.length(lead) + 3 * (F.length(lead) - F.length(F.replace(lead, F.lit("\t"), F.lit(""))))) / 2).cast("int")
-
-
-def latex_paragraph(line: Column, notes: Column) -> Column:
-    return F.when(~is_blank(line), inline_format(escape_latex(trimmed(line)), notes)).otherwise("")
