@@ -85,6 +85,14 @@ def test_rows_keep_together_and_clashing_columns_are_replaced(spark):
     assert sharding.assign_shards(df.limit(0), ["doc_id", "a b"], names, 101).collect() == []
 
 
+def test_shards_are_written_apart(spark, tmp_path):
+    df = docs(spark, *(f"t{i}" for i in range(50))).drop("a b")
+    sharding.write_shards(df, ["doc_id"], ["x", "y", "z"], str(tmp_path / "out"), 101)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    want = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(df, ["doc_id"], ["x", "y", "z"], 101).collect()}
+    assert {r["doc_id"]: r["shard"] for r in back.collect()} == want and back.count() == 50
+
+
 # --- packing
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,13 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def drop_own_dirs() -> None:
-    """Remove the local folders that tests were given."""
-    for path in _own.values():
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
-    _own.clear()
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/vellum/{tag}-{uuid.uuid4().hex}"
 
@@ -90,11 +82,6 @@ def bounded(table: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None
     return F.broadcast(table) if n <= rows else table
 
 
-def columns_of(df: DataFrame, **named: str) -> DataFrame:
-    """Only the named columns, under names that no input column can clash with."""
-    return df.select(*(df[c].alias(k) for k, c in named.items()))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u long, v long); root is the smallest node reachable.
 
