@@ -144,27 +144,27 @@ def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reaches the threshold.  Null text is empty text and fails; repeated rows are judged alike; other columns are not read.
     The counts are written once; texts are neither shuffled nor read twice.
     """
-    table, model = counted(df, id_col, text_col)
+    f = F.col("f")
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), features_column(F.col(f"`{text_col}`")).alias("f"))
+    table = materialise(rows.select("id", "f.*", votes(f).alias("votes"), base_failed(f).alias("base_failed")), "quality")
+    model = fitted(table)
     return table.withColumn("p_good", posterior(F.col("votes"), model)).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
-def counted(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict]:
-    """The written counts of all rows, and the model fitted on their vote patterns."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), features_column(F.col(f"`{text_col}`")).alias("f"))
-    table = materialise(rows.select("id", "f.*", votes(F.col("f")).alias("votes"), base_failed(F.col("f")).alias("base_failed")), "quality")
+def fitted(table: DataFrame) -> dict:
+    """The model of a written table's votes."""
     patterns = materialise(table.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "votes")
     model = fit_rules(patterns)
     discard(patterns)
-    return table, model
+    return model
 
 
 def keep_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that :func:`judge_quality` keeps, all columns as they are.
 
-    The model is fitted on all rows; then each row is judged from its own text in a second scan, so that ids may be null or repeated and texts
-    need not be joined to verdicts.
+    Rows are written once beside their votes, so that texts are counted once, ids may be null or repeated, and nothing is joined.
     """
-    table, model = counted(df, id_col, text_col)
-    discard(table)
-    keep = let(features_column(F.col(f"`{text_col}`")), lambda f: ~base_failed(f) & let(votes(f), lambda v: posterior(v, model) >= threshold))
-    return df.where(keep)
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    verdict = let(features_column(F.col(f"`{text_col}`")), lambda f: F.struct(votes(f).alias("votes"), base_failed(f).alias("base_failed")))
+    table = materialise(df.select(row, verdict.alias("v")).select("row", "v.*"), "judged")
+    return table.where(~F.col("base_failed") & (posterior(F.col("votes"), fitted(table)) >= threshold)).select("row.*")
