@@ -22,7 +22,7 @@ from .common import map_arrow
 
 
 #: Words that a worker remembers, and characters of text encoded at a time.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 BATCH_CHARS = 500_000
 #: Rows of a batch that a worker gives back.
 EMIT_ROWS = 500
@@ -67,37 +67,49 @@ class Codec:
         self.after: dict[str, bytes] = {}  # words behind a space, kept without it
         self.start: dict[str, bytes] = {}
 
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of pairs, by binary search; NONE for those that never merge."""
+        key = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE), self.merged[at]
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), lengths)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        last = np.zeros(sym.size, bool)  # of its word
+        last[np.cumsum(lengths)[lengths > 0] - 1] = True
+        rank, into = np.full(sym.size, NONE, np.int32), np.zeros(sym.size, np.int64)
+        fresh = np.flatnonzero(~last)
+        rank[fresh], into[fresh] = self.pairs(sym[fresh], sym[fresh + 1])
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while sym.size:
-            key = (sym[:-1] << 32) | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.append(np.where((self.keys[at] == key) & (word[1:] == word[:-1]), self.ranks[at], NONE), NONE).astype(np.int32)
-            begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            begins = np.flatnonzero(np.append(True, last[:-1]))
             least = np.repeat(np.minimum.reduceat(rank, begins), np.diff(np.append(begins, sym.size)))
             over = least == NONE
             if over.any():
                 done.append((word[over], sym[over]))
                 stay = ~over
-                sym, word, rank, least = sym[stay], word[stay], rank[stay], least[stay]
-                at = np.append(at, 0)[stay]
+                sym, word, last, rank, into, least = sym[stay], word[stay], last[stay], rank[stay], into[stay], least[stay]
                 if not sym.size:
                     break
-            else:
-                at = np.append(at, 0)
             hit = np.flatnonzero(rank == least)
             # of overlapping places (aaa) every other one, from the left
-            fresh = np.append(True, np.diff(hit) != 1)
-            run = np.maximum.accumulate(np.where(fresh, np.arange(hit.size), 0))
+            new = np.append(True, np.diff(hit) != 1)
+            run = np.maximum.accumulate(np.where(new, np.arange(hit.size), 0))
             hit = hit[(np.arange(hit.size) - run) % 2 == 0]
-            sym[hit] = self.merged[at[hit]]
+            sym[hit] = into[hit]
+            last[hit] = last[hit + 1]
             keep = np.ones(sym.size, bool)
             keep[hit + 1] = False
-            sym, word = sym[keep], word[keep]
+            sym, word, last, rank, into = sym[keep], word[keep], last[keep], rank[keep], into[keep]
+            # only the pairs at a merged symbol, on either side, are looked up again
+            at = hit - np.arange(hit.size)
+            rank[at[last[at]]] = NONE
+            before = at[at > 0] - 1
+            fresh = np.concatenate([at[~last[at]], before[~last[before]]])
+            rank[fresh], into[fresh] = self.pairs(sym[fresh], sym[fresh + 1])
         if not done:
             return [b""] * len(words)
         words_done, syms = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
