@@ -163,6 +163,14 @@ def test_warc_that_starts_with_something_else_or_is_cut(spark, tmp_path):
     assert [(r["file"].rpartition("/")[2], bytes(r["payload"]), r["truncated"]) for r in sorted(rows, key=lambda r: r["truncated"])] == [("b.warc", b"abc", False), ("b.warc", b"a", True)]
 
 
+def test_warc_with_absurd_lengths(spark, tmp_path):
+    far = "WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 99999999999999\r\nX-Payload-Length: none\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "a.warc").write_text(far, newline="")
+    (tmp_path / "b.warc").write_text(far.replace("99999999999999", "many"), newline="")
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 and all(r["truncated"] and r["payload_length"] is None for r in rows)
+
+
 def test_warc_empty_table(spark):
     path = new_path(spark, "warc-empty")
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)

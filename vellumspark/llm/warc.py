@@ -148,9 +148,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def parsed(records: DataFrame) -> DataFrame:
     head = F.substring_index(F.col("value").cast("string"), END, 1)
     field = lambda name: F.nullif(F.trim(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
-    one = records.select("file", "value", head.alias("head")).withColumn("length", field("Content-Length").cast("long"))
+    one = records.select("file", "value", head.alias("head")).withColumn("length", field("Content-Length").try_cast("long"))
     start = F.octet_length("head") + len(END)
-    content = F.substring(F.col("value"), start + 1, F.coalesce(F.col("length"), F.lit(0)).cast("int"))
+    content = F.substring(F.col("value"), start + 1, F.least(F.coalesce(F.col("length"), F.lit(0)), F.lit(2**31 - 1)).cast("int"))
     two = one.select(
         "file",
         field("WARC-Type").alias("record_type"),
@@ -159,7 +159,7 @@ def parsed(records: DataFrame) -> DataFrame:
         field("WARC-Target-URI").alias("target_uri"),
         field("WARC-Refers-To").alias("refers_to"),
         field("WARC-Payload-Digest").alias("payload_digest"),
-        field("X-Payload-Length").cast("long").alias("payload_length"),
+        field("X-Payload-Length").try_cast("long").alias("payload_length"),
         field("Content-Type").alias("content_type"),
         content.alias("content"),
         "length",
