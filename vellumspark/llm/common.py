@@ -121,8 +121,8 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(df: DataFrame, keys: list[str], compute: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Call ``compute`` with the rows of each group of ``keys``; groups must be bounded by how keys are made.
 
-    Rows are dealt by key, sorted within the partition and cut at the key's changes in a stream, so a task
-    holds one group at a time (plus an Arrow batch).
+    Rows are dealt out by ranges of the keys, so that tasks get like numbers of rows, sorted within the partition and cut at the key's
+    changes in a stream: a task holds one group at a time (plus an Arrow batch).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def grouped(df: DataFrame, keys: list[str], compute: Callable[[pa.Table], pa.Rec
         flush()
         yield from out
 
-    return map_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
+    return map_arrow(df.repartitionByRange(*keys).sortWithinPartitions(*keys), run, schema)
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
