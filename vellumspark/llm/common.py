@@ -20,7 +20,7 @@ from .. import shipping
 BROADCAST_ROWS = 1_000_000
 SETTING = "spark.checkpoint.dir"
 #: Bytes of an Arrow batch while tables are written.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 #: What workers call at the end of a task.
 CACHES: list[Callable[[], None]] = []
 _own: dict[str, str] = {}

@@ -27,7 +27,7 @@ OVER, UNDER = 4, 5
 MIN_EQUAL = int(SAMPLES * (0.8 - 4 * math.sqrt(0.8 * 0.2 / SAMPLES)))
 #: Rows of a block on either side: of samples, of whole shingle sets.
 BLOCK_SAMPLES, BLOCK_SETS = 256, 256
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 _rng = np.random.default_rng(SEED)
 MULTIPLY = _rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 STEP = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

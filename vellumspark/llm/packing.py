@@ -26,8 +26,8 @@ CAPACITY = 1024
 SLACK = 8
 #: Workers whose left pieces are packed together at one level.
 FAN_IN = 64
-#: Documents between two batches of rows that a worker emits.
-EMIT_PIECES = 4096
+#: Pieces that a worker gathers before it gives them back.
+EMIT_PIECES = 1024
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "doc_id {id}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
