@@ -71,6 +71,22 @@ def test_a_hot_group_is_compared_in_blocks(spark, monkeypatch):
     assert all(r["n_links"] == 99 and r["component_id"] == 7 for r in rows) and sum(r["kept"] for r in rows) == 1
 
 
+@pytest.mark.parametrize(("cosine", "block"), [(0.7, 16), (0.8, 1024), (0.8, 16)])
+def test_dense_regions_reach_the_recall(spark, monkeypatch, cosine, block):
+    monkeypatch.setattr(embed_dedup, "PER_BLOCK", block)  # small blocks: more passes are cheaper than all pairs
+    rng = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre = unit(rng.standard_normal(64))
+    hot = unit(math.sqrt(cosine) * centre + math.sqrt(1 - cosine) * unit(rng.standard_normal((1500, 64))))
+    aside = rng.standard_normal((200, 64))
+    aside = unit(aside - (aside * hot[:200]).sum(axis=1, keepdims=True) * hot[:200])
+    x = np.concatenate([hot, 0.91 * hot[:200] + math.sqrt(1 - 0.91**2) * aside, unit(rng.standard_normal((3000, 64)))])
+    links = np.argwhere(np.tril(x @ x.T >= 0.9, -1))
+    rows = {r["vec_id"]: r for r in embed_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    found = sum(rows[i]["component_id"] == rows[j]["component_id"] for i, j in links.tolist())
+    assert len(links) >= 200 and found >= 0.95 * len(links)
+
+
 def test_vectors_empty_table_and_passes(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.near_vectors(df).collect() == []

@@ -1,8 +1,9 @@
 """Operator 6, embedding near-duplicates by sorted projection passes.
 
-Every pass orders the vectors by a key of concatenated random-hyperplane bits and compares each with a bounded window of followers.  Verified
-pairs are united over all passes, each task giving a star a group and not its pairs.  Within a group that came out, all pairs are then verified in
-double precision, in blocks, and counted.
+Every pass orders the vectors by a key of concatenated random-hyperplane bits and compares each with a bounded window of followers.  How many first
+bits a window covers is measured for each vector: those in regions so dense that the passes don't reach the recall get more passes among themselves, or
+are all compared with one another where that is cheaper.  Verified pairs are united over all passes, each task giving a star a group and not its pairs.
+Within a group that came out, all pairs are then verified in double precision, in blocks, and counted.
 """
 
 from __future__ import annotations
@@ -15,20 +16,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import verified
+from .blocks import block_rows, linked, verified
 from .common import bounded, components, discard, local_roots, map_arrow, materialise
 
 THRESHOLD, WINDOW, BITS, RECALL, SEED = 0.9, 64, 48, 0.95, 11
 #: Vectors of a group that a task compares at a time, on either side.
 PER_BLOCK = 1024
+#: Passes at most that dense regions get at a time.
+MORE_PASSES = 16
 #: What rounding may take off a cosine in single precision.
 ROUNDING = 1e-4
 
 
+def even_bits(n: int, window: int) -> int:
+    """First bits of a key that leave a window of vectors where vectors are spread evenly."""
+    return max(1, math.ceil(math.log2(max(2, n / window))))
+
+
 def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> int:
-    """Passes until a pair just at the threshold has met in a window with the given probability: it meets in a pass if its keys agree in
-    as many first bits as leave a window of vectors."""
-    bits = max(1, math.ceil(math.log2(max(2, n / window))))
+    """Passes until a pair just at the threshold has met in a window with the given probability, if vectors are spread evenly: it meets in a pass
+    if its keys agree in as many first bits as leave a window of vectors."""
+    bits = even_bits(n, window)
     meet = (1 - math.acos(threshold) / math.pi) ** bits
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
@@ -53,8 +61,8 @@ def unit_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return map_arrow(src, run, f"vec_id {src.schema['vec_id'].dataType.simpleString()}, dim int, v binary")
 
 
-def projected(vectors: DataFrame, passes: int) -> DataFrame:
-    """(pass, dim, key, uid, v as single precision) for every pass."""
+def projected(vectors: DataFrame, passes: int, first: int = 0) -> DataFrame:
+    """(pass, dim, key, uid, v as single precision) for every pass; ``first`` is the number of passes made before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -65,7 +73,7 @@ def projected(vectors: DataFrame, passes: int) -> DataFrame:
                 at = np.flatnonzero(dims == dim)
                 x = np.frombuffer(b"".join(vs[i] for i in at.tolist()), "<f8").reshape(-1, dim)
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([SEED, dim]).standard_normal((dim, passes * BITS))
+                    planes[dim] = np.random.default_rng([SEED, dim, first] if first else [SEED, dim]).standard_normal((dim, passes * BITS))
                 keys = ((x @ planes[dim]) > 0).reshape(len(at), passes, BITS) @ powers
                 small = x.astype("<f4")
                 data = [r.tobytes() for r in small]
@@ -76,11 +84,16 @@ def projected(vectors: DataFrame, passes: int) -> DataFrame:
     return map_arrow(vectors.where("dim > 0").select("uid", "dim", "v"), run, "pass int, dim int, key long, uid long, v binary")
 
 
-def window_stars(sorted_rows: DataFrame, threshold: float, window: int) -> DataFrame:
-    """(u, v) for vectors linked in a window of their partition: v is the smallest of those that u is linked with in a stretch of rows."""
+def window_stars(sorted_rows: DataFrame, threshold: float, window: int, even: int) -> DataFrame:
+    """(u, v, depth): for vectors linked in a window of their partition, v is the smallest of those that u is linked with in a stretch of rows; for each row
+    with whole windows on both sides, v is null and depth the number of first bits that surely bring a vector into a window with u.
+
+    Where the row at the window's end links too, the windows are full of one group, and more than ``even`` bits don't count: groups are compared whole.
+    """
 
-    def stretch(p: np.ndarray, d: np.ndarray, uid: np.ndarray, v: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def stretch(p: np.ndarray, d: np.ndarray, key: np.ndarray, uid: np.ndarray, v: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         a_all, b_all = [], []
+        tight = np.zeros(uid.size, bool)
         for dim in np.unique(d).tolist():
             rows = np.flatnonzero(d == dim)
             x = np.frombuffer(b"".join(v[i] for i in rows.tolist()), "<f4").reshape(-1, dim)
@@ -90,26 +103,85 @@ def window_stars(sorted_rows: DataFrame, threshold: float, window: int) -> DataF
                 hit = np.flatnonzero(near)
                 a_all.append(rows[hit])
                 b_all.append(rows[hit + o])
+                if o == window:
+                    tight[rows[hit]] = True
+        whole = slice(window, max(window, uid.size - window))
+        common = BITS - np.frexp((key[window:] ^ key[:-window]).astype(float))[1]
+        common = np.where(tight[:-window], np.minimum(common, even - 1), common)
+        common[(p[window:] != p[:-window]) | (d[window:] != d[:-window])] = -1
+        depth = np.maximum(common[window:], common[: max(0, common.size - window)]) + 1
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_all, b_all))
         if not a.size:
-            return uid[:0], uid[:0]
+            return uid[:0], uid[:0], uid[whole], depth
         # one place a vector, though it has a row for each pass
         ids, place = np.unique(uid, return_inverse=True)
         root = local_roots(ids.size, place[a], place[b])
         moved = np.flatnonzero(root != np.arange(ids.size))
-        return ids[moved], ids[root[moved]]
+        return ids[moved], ids[root[moved]], uid[whole], depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: pa.Table | None = None
         for b in batches:
             t = pa.Table.from_batches([b])
             t = t if tail is None else pa.concat_tables([tail, t])
-            u, v = stretch(t.column("pass").to_numpy(), t.column("dim").to_numpy(), t.column("uid").to_numpy(), t.column("v").to_pylist())
-            if u.size:
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-            tail = t.slice(max(0, t.num_rows - window))
+            u, v, at, depth = stretch(*(t.column(c).to_numpy() for c in ("pass", "dim", "key", "uid")), t.column("v").to_pylist())
+            if u.size + at.size:
+                null = pa.nulls
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([u, at])), pa.concat_arrays([pa.array(v), null(at.size, pa.int64())]), pa.concat_arrays([null(u.size, pa.int32()), pa.array(depth.astype(np.int32))])], ["u", "v", "depth"]
+                )
+            tail = t.slice(max(0, t.num_rows - 2 * window))
 
-    return map_arrow(sorted_rows, run, "u long, v long")
+    return map_arrow(sorted_rows, run, "u long, v long, depth int")
+
+
+def all_stars(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) for vectors linked with any other: all pairs of equal dimension compared, in blocks."""
+    sizes = materialise(vectors.groupBy("dim").agg(F.count("*").alias("size")), "sizes")
+
+    def linker(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(matrix(x) @ matrix(y).T >= threshold - ROUNDING)
+
+    rows = block_rows(vectors.join(bounded(sizes), "dim"), "dim", "size", "uid", PER_BLOCK, ["uid", "v"])
+    return linked(rows, "dim", "uid", None, linker).select(F.col("uid").alias("u"), F.col("root").alias("v"))
+
+
+def matrix(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("v").to_pylist()), "<f8").reshape(t.num_rows, -1)
+
+
+def found_stars(vectors: DataFrame, n: int, threshold: float, window: int, recall: float) -> DataFrame:
+    """(u, v) of all passes over ``vectors`` (uid, dim, v; n rows).
+
+    A pair meets in a pass if its keys agree in the depth measured at either of its vectors, so a vector whose depths give the recall has it for all of
+    its pairs and is done; pairs that may still be missing have both vectors among the others, which go on by themselves.
+    """
+    at_threshold, goal = 1 - math.acos(threshold) / math.pi, math.log(1 - recall)
+    passes, made, parts = passes_for(n, threshold, window, recall), 0, []
+    left = vectors.withColumn("miss", F.lit(0.0))
+    while True:
+        rows = projected(left, passes, made)
+        # the vector's own number ends the sort key, so that equal vectors can be dealt to several tasks
+        found = materialise(window_stars(rows.repartitionByRange("pass", "dim", "key", "uid").sortWithinPartitions("pass", "dim", "key", "uid"), threshold, window, even_bits(n, window)), "windows")
+        made += passes
+        parts.append(found.where("v is not null").select("u", "v"))
+        # rows at the borders of partitions are not measured and count as the vector's others
+        rate = F.avg(F.log(1 - F.least(F.lit(1 - 1e-9), F.pow(F.lit(at_threshold), "depth"))))
+        rates = found.where("depth is not null").groupBy(F.col("u").alias("uid")).agg(rate.alias("rate"))
+        after = left.join(rates, "uid", "left").withColumn("miss", F.col("miss") + F.coalesce(F.col("rate") * passes, F.lit(0.0)))
+        left = materialise(after.where(F.col("miss") > goal), "dense")
+        m, wanted = left.agg(F.count("*"), F.avg((F.lit(goal) - F.col("miss")) / F.col("rate"))).first()
+        if not m:
+            break
+        if wanted is None or math.ceil(m / PER_BLOCK) <= max(wanted, passes):
+            parts.append(materialise(all_stars(left, threshold), "stars"))
+            break
+        passes = max(2, min(MORE_PASSES, math.ceil(wanted)))
+        left = left.drop("rate")
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, window: int = WINDOW, recall: float = RECALL) -> DataFrame:
@@ -121,20 +193,17 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     """
     table = materialise(unit_vectors(df, id_col, vec_col).withColumn("uid", F.monotonically_increasing_id()), "vectors")
     n = table.where("dim > 0").count()
-    rows = projected(table, passes_for(n, threshold, window, recall))
-    # the vector's own number ends the sort key, so that equal vectors can be dealt to several tasks
-    stars = window_stars(rows.repartitionByRange("pass", "dim", "key", "uid").sortWithinPartitions("pass", "dim", "key", "uid"), threshold, window)
+    stars = found_stars(table.where("dim > 0").select("uid", "dim", "v"), n, threshold, window, recall)
     found = materialise(components(stars).select(F.col("node").alias("uid"), F.col("root").alias("grp")), "groups")
     sizes = materialise(found.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
     members = materialise(found.join(bounded(sizes), "grp").join(table.select("uid", "dim", "v"), "uid").withColumn("one", F.lit(1).cast("long")), "members")
-    vectors = lambda t: np.frombuffer(b"".join(t.column("v").to_pylist()), "<f8").reshape(t.num_rows, -1)
     half = math.cos(math.acos(threshold) / 2 - 1e-9)
 
     def linker(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return np.nonzero(vectors(x) @ vectors(y).T >= threshold)
+        return np.nonzero(matrix(x) @ matrix(y).T >= threshold)
 
     def middle(t: pa.Table) -> bytes:
-        total = vectors(t).sum(axis=0)
+        total = matrix(t).sum(axis=0)
         return (total / max(float(np.linalg.norm(total)), 1e-300)).tobytes()
 
     def near(b: pa.RecordBatch) -> list[bool]:
