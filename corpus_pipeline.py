@@ -12,6 +12,8 @@ from vellumspark.llm.common import materialise
 from vellumspark.llm.queries import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Sites on which a line of 50 words and more is a repeated passage: such lines do not coincide by chance.  More sites than there are.
+PASSAGE_SITES, NEVER = 2, 1 << 40
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -31,8 +33,13 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return jaccard_join.keep_one(docs).select(*COLUMNS)
+    """One document of each group of near copies, without the long passages that one on another site keeps.
+
+    Passages go here and not with the boilerplate, as near copies would lose most of their lines there and could no longer be matched.
+    """
+    kept = materialise(jaccard_join.keep_one(docs).select(*COLUMNS), "near")
+    cut = line_dedup.dedup_lines(kept, min_sites=NEVER, short_sites=NEVER, long_sites=PASSAGE_SITES)
+    return recounted(cut.where("n_removed = 0 or n_removed < n_lines"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,3 +189,17 @@ def test_large_spread_is_estimated_and_near_ones_are_exact(spark):
     out = line_dedup.dedup_lines(df, min_sites=20).agg(F.sum("n_removed")).first()[0]
     assert out == 399 + 19
     assert line_dedup.dedup_lines(df, min_sites=21).agg(F.sum("n_removed")).first()[0] == 399
+
+
+def test_long_passages_on_two_sites(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    passage, short = prose(rng, 60), prose(rng, 20)
+    rows = [(i, "\n".join([prose(rng, 60), passage, short]), "en", f"s{i % 2}", 0) for i in range(6)] + [(6, prose(rng, 60) + "\n" + passage[:-1], "en", "s2", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"].split("\n") for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert [i for i in sorted(got) if passage in got[i]] == [0] and all(short in got[i] for i in range(6)) and passage[:-1] in got[6]
+    assert line_dedup.dedup_lines(df).agg(F.sum("n_removed")).first()[0] == 0
+    one = df.withColumn("source", F.lit("s0"))
+    assert line_dedup.dedup_lines(one, long_sites=2).agg(F.sum("n_removed")).first()[0] == 0

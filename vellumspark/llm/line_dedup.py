@@ -28,9 +28,10 @@ def lines_of(df: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{site_col}`").alias("site"), F.explode(F.transform(lines, line_key)).alias("k")).select("id", "site", "k.a", "k.b", "k.words")
 
 
-def boilerplate(lines: DataFrame, min_sites: int, short_words: int, short_sites: int) -> DataFrame:
-    """(a, b, keeper) of lines on at least min_sites sites; lines of fewer than short_words words need short_sites.  Null sites don't count."""
-    need = F.when(F.col("words") < short_words, F.lit(short_sites)).otherwise(F.lit(min_sites))
+def boilerplate(lines: DataFrame, min_sites: int, short_words: int, short_sites: int, long_words: int, long_sites: int) -> DataFrame:
+    """(a, b, keeper) of lines on at least min_sites sites; lines of fewer than short_words words need short_sites, those of long_words and more
+    long_sites.  Null sites don't count."""
+    need = F.when(F.col("words") < short_words, F.lit(short_sites)).when(F.col("words") >= long_words, F.lit(long_sites)).otherwise(F.lit(min_sites))
     spread = lines.groupBy("a", "b").agg(F.hll_sketch_agg(F.col("site").cast("string"), F.lit(SKETCH_BITS)).alias("sketch"), F.min("id").alias("keeper"), F.min("words").alias("words"), F.count("*").alias("n"))
     # an estimate is off by over a tenth, or by one where counts are small, practically never: 1.04 / sqrt(2**12) is 1.6 %
     judged = spread.where(F.col("n") >= need).select("a", "b", "keeper", "words", F.hll_sketch_estimate("sketch").alias("about"), need.alias("need"))
@@ -53,15 +54,18 @@ def dedup_lines(
     min_sites: int = 3,
     short_words: int = 5,
     short_sites: int = 8,
+    long_words: int = 50,
+    long_sites: int | None = None,
 ) -> DataFrame:
     """``df`` with boilerplate lines taken out of its text, plus ``n_lines`` and ``n_removed`` (long; lines that are not blank).
 
     Lines are compared without the blanks around them; blank lines stay.  Rows that share an id count as one document; a null id never
     keeps a line unless all its holders have null ids, then the rows with null ids keep it.  Null text stays null with 0 lines, null
-    sites count for nothing, an empty table gives an empty result; input columns named n_lines or n_removed are replaced.
+    sites count for nothing, an empty table gives an empty result; input columns named n_lines or n_removed are replaced.  Lines of long_words words
+    and more need long_sites sites, min_sites unless it is given.
     """
     lines = materialise(lines_of(df, id_col, text_col, site_col), "lines")
-    bad = boilerplate(lines, min_sites, short_words, short_sites)
+    bad = boilerplate(lines, min_sites, short_words, short_sites, long_words, min_sites if long_sites is None else long_sites)
     hits = lines.join(bounded(bad), ["a", "b"]).where("not (id <=> keeper)").groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("__bad")).withColumnRenamed("id", "__id")
     hits = materialise(hits, "hits")
     discard(lines, bad)
