@@ -51,6 +51,20 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert clean[9]["text"] == texts[9] and clean[10]["text"] is None and clean[11]["text"] == "" and clean[0]["spans"] == "x"
 
 
+def test_contexts_discover_runs_words_and_long_tokens(spark):
+    texts = [f"please write to user{i}@mail{i}.example.com today" for i in range(12)] + [f"please call +1 (743) 555-38{i} now" for i in range(10, 22)]
+    texts += [f"the card 4111 1111 1111 {x} paid" for x in ("1111", "1129", "1137", "1145", "1152", "1160", "1178", "1186", "1194", "1202", "1210", "1228")]
+    hidden = {"call": ("phone", ["(020) 7946 0958", "555 123 4567", "555.123.4568"]), "card": ("card", ["4111 1111 1111 1112"]), "to": ("email", ["jane at example dot com", "j" * 90 + "2024@localhost"])}
+    n, want = len(texts), []
+    for word, (kind, values) in hidden.items():
+        for v in values:
+            texts.append({"call": f"please call {v} now", "card": f"the card {v} paid", "to": f"please write to {v} today"}[word])
+            want.append((kind, v))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
+    assert [{(pii.KINDS[s["kind"]], texts[n + i][s["start"] : s["end"]]) for s in rows[n + i]} for i in range(len(want))] == [{w} for w in want]
+
+
 def test_overlapping_spans_are_redacted_once(spark):
     t = "a +4111 1111 1111 1111 b 10.0.0.1 é u@v.wx"
     df = spark.createDataFrame([(None, t), (None, t)], "doc_id long, text string")

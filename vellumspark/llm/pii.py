@@ -1,13 +1,14 @@
 """Operator 5, personal data: patterns find seeds, contexts of the seeds find more.
 
-Regular expressions give the base spans (e-mail, IP address, card, phone).  Around every base span, and around every other token that could be
-an identifier, the neighbouring words are lexical patterns.  Spark holds the graph of patterns and values and scores both in turns: a
+Regular expressions give the base spans (e-mail, IP address, card, phone).  Around every base span, and around every other token or run of tokens that
+could be an identifier, the neighbouring words are lexical patterns.  Spark holds the graph of patterns and values and scores both in turns: a
 pattern is as trustworthy for a kind as the values that it meets, and a value as probable as its trusted patterns make it.  Values that reach the
 score, all of their places, are added to the base spans.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -24,9 +25,13 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 HINT = re.compile(r"[0-9@]")
+#: Groups of digits joined by blanks, dots, dashes or brackets; an address in words.
+RUN = re.compile(r"[+(\[]{0,2}(?<![0-9])[0-9]++(?:[\x20\t\xa0.()\[\]/-]{1,3}+[0-9]++)++")
+DOT = re.compile(r"\s[(\[]?dot[)\]]?\s", re.IGNORECASE)
+WORDED = re.compile(r"(?<![\w.+-])[\w.+-]++\s{1,2}[(\[]?at[)\]]?\s{1,2}[\w-]++(?:\s{1,2}[(\[]?dot[)\]]?\s{1,2}[\w-]++)++", re.IGNORECASE)
 EDGES = ".,;:!?\"'()[]{}<>=#*&%$|`"
-#: Lengths of tokens that may be identifiers, and how many digits make one.
-SHORTEST, LONGEST, FEWEST_DIGITS = 6, 64, 4
+#: Length from which tokens may be identifiers, length from which values go by their hash, and how many digits make an identifier.
+SHORTEST, HASHED, FEWEST_DIGITS = 6, 65, 4
 #: Words of context kept at most, in characters.
 CONTEXT = 24
 #: A pattern needs so many distinct seeds of a kind, and such a share of its values; a value such a score.
@@ -93,12 +98,49 @@ def word_after(text: str, at: int) -> str:
     return text[at:end].strip(EDGES).lower()
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of other tokens that could be identifiers, without the marks around them."""
-    if not HINT.search(text):
+def runs(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of digit groups, without groups that are part of a word."""
+    for m in RUN.finditer(text, start, end):
+        a, b = m.span()
+        while a < b and not text[a].isdigit() and a and text[a - 1].isalnum():
+            a += 1
+        if a and (text[a - 1].isalnum() or text[a - 1] in "@_"):
+            while a < b and text[a].isdigit():
+                a += 1
+            while a < b and not text[a].isdigit():
+                a += 1
+        if b < len(text) and (text[b].isalpha() or text[b] in "@_"):
+            while b > a and text[b - 1].isdigit():
+                b -= 1
+            while b > a and not text[b - 1].isdigit():
+                b -= 1
+        for opening, closing in ("()", "[]"):
+            while a < b and text[a] == opening and text.find(closing, a, b) < 0:
+                a += 1
+        yield a, b
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of other tokens and runs of tokens that could be identifiers, without the marks around them: kind is -2 for tokens within
+    a run, else -1."""
+    hint = HINT.search(text)
+    worded = [m.span() for m in WORDED.finditer(text)] if DOT.search(text) else []
+    if not hint and not worded:
         return []
     taken = sorted((a, b) for _, a, b in spans)
-    out, at, k = [], 0, 0
+    wide, at = [], 0
+    for start, end in [*taken, (len(text), len(text))]:
+        if at < start:
+            wide += [(a, b) for a, b in runs(text, at, start) if b - a >= SHORTEST and sum("0" <= c <= "9" for c in text[a:b]) >= FEWEST_DIGITS]
+        at = max(at, end)
+    k = 0
+    for a, b in worded:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or taken[k][0] >= b:
+            wide.append((a, b))
+    wide.sort()
+    out, at, k, w = [(-1, a, b) for a, b in wide], 0, 0, 0
     while m := HINT.search(text, at):
         a = b = m.start()
         while a > at and not text[a - 1].isspace():
@@ -114,12 +156,23 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
             k += 1
         if k < len(taken) and taken[k][0] < b:
             continue
+        while w < len(wide) and wide[w][1] < b:
+            w += 1
+        within = w < len(wide) and wide[w][0] <= a
+        if within and wide[w] == (a, b):
+            continue
         token = text[a:b]
-        if SHORTEST <= b - a <= LONGEST and ("@" in token or sum("0" <= c <= "9" for c in token) >= FEWEST_DIGITS):
-            out.append((a, b))
+        if SHORTEST <= b - a and ("@" in token or sum("0" <= c <= "9" for c in token) >= FEWEST_DIGITS):
+            out.append((-2 if within else -1, a, b))
     return out
 
 
+def value_of(token: str) -> str:
+    """What stands for a token: itself, or its hash if it is long."""
+    token = token.lower()
+    return token if len(token) < HASHED else "#" + hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, key, spans array<struct<kind,start,end>>, occurrences with contexts): key tells texts of one id apart."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -131,9 +184,9 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for t in b.column("text").to_pylist():
                 spans = base_spans(t)
                 found = []
-                for kind, a, e in [*spans, *((-1, a, e) for a, e in candidates(t, spans))]:
+                for kind, a, e in [*spans, *candidates(t, spans)]:
                     one, at = word_before(t, a)
-                    found.append({"kind": kind, "start": a, "end": e, "value": t[a:e].lower(), "before": one, "before2": word_before(t, at)[0], "after": word_after(t, e)})
+                    found.append({"kind": kind, "start": a, "end": e, "value": value_of(t[a:e]), "before": one, "before2": word_before(t, at)[0], "after": word_after(t, e)})
                 occ.append(found)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(occ, OCC)], ["doc_id", "key", "occ"])
 
@@ -141,7 +194,8 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bootstrap(occ: DataFrame) -> DataFrame:
-    """(value, kind, score) of values that trusted patterns discover.  ``occ``: (value, kind, before, before2, after), kind -1 where unknown.
+    """(value, kind, score) of values that trusted patterns discover.  ``occ``: (value, kind, before, before2, after), kind -1 where unknown,
+    -2 where also part of a longer candidate: such values do not count against a pattern.
 
     A pattern is a word, or two, before the value or the words on both its sides.  Patterns and values meet as distinct edges; one word that comes
     before a third of all values is an edge for each value, pre-aggregated before it is dealt out, and is never gathered in one row.
@@ -160,7 +214,7 @@ def bootstrap(occ: DataFrame) -> DataFrame:
     edges = materialise(occ.select(pattern.alias("pattern"), F.xxhash64("value").alias("v"), "value", "kind").groupBy("pattern", "v", "value").agg(F.max("kind").alias("kind")), "edges")
     unknown = edges.where("kind < 0")
     # seeds never change: their part of a pattern is summed once
-    seeds = materialise(edges.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(F.col("kind") == k).alias(f"s{k}") for k in range(4))).where(" or ".join(f"s{k} >= {MIN_SEEDS}" for k in range(4))), "seeds")
+    seeds = materialise(edges.groupBy("pattern").agg(F.greatest(F.count_if(F.col("kind") > -2), F.lit(1)).alias("n"), *(F.count_if(F.col("kind") == k).alias(f"s{k}") for k in range(4))).where(" or ".join(f"s{k} >= {MIN_SEEDS}" for k in range(4))), "seeds")
     scores: DataFrame | None = None
     for _ in range(ROUNDS):
         if scores is None:
@@ -168,7 +222,7 @@ def bootstrap(occ: DataFrame) -> DataFrame:
         else:
             gained = unknown.join(bounded(scores), ["v", "value"]).groupBy("pattern").agg(*(F.sum(F.when(F.col("best") == k, F.col("score")).otherwise(0.0)).alias(f"g{k}") for k in range(4)))
             both = seeds.join(gained, "pattern", "left")
-            trust = both.select("pattern", *(F.when(F.col(f"s{k}") >= MIN_SEEDS, (F.col(f"s{k}") + F.coalesce(f"g{k}", F.lit(0.0))) / F.col("n")).otherwise(0.0).alias(f"c{k}") for k in range(4)))
+            trust = both.select("pattern", *(F.when(F.col(f"s{k}") >= MIN_SEEDS, F.least(F.lit(1.0), (F.col(f"s{k}") + F.coalesce(f"g{k}", F.lit(0.0))) / F.col("n"))).otherwise(0.0).alias(f"c{k}") for k in range(4)))
         trusted = materialise(trust.where(" or ".join(f"c{k} >= {MIN_CONFIDENCE}" for k in range(4))), "trusted")
         logs = [F.sum(F.when(F.col(f"c{k}") >= MIN_CONFIDENCE, F.log(F.greatest(1 - F.col(f"c{k}"), F.lit(0.05)))).otherwise(0.0)).alias(f"l{k}") for k in range(4)]
         by_value = unknown.join(bounded(trusted), "pattern").groupBy("v", "value").agg(*logs)
@@ -201,7 +255,8 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     ``base`` has what the regular expressions find, ``spans`` also what the contexts discover; starts and ends count code points.  Null text is
     empty, repeated rows are searched alike (a value counts once however often it is repeated), other columns are not read, an empty table gives
-    an empty result.  Tokens of over 64 characters are not taken for identifiers.
+    an empty result.  Candidates are tokens with '@' or four digits, runs of digit groups joined by blanks, dots, dashes, slashes or brackets, and addresses
+    in words ("jane at example dot com"); identifiers without any of these are not found.  Long ones are known by 128-bit hashes.
     """
     table, found = scanned_and_found(df, id_col, text_col)
     base = F.transform(F.filter("occ", lambda o: o["kind"] >= 0), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
