@@ -65,6 +65,18 @@ def test_contexts_discover_runs_words_and_long_tokens(spark):
     assert [{(pii.KINDS[s["kind"]], texts[n + i][s["start"] : s["end"]]) for s in rows[n + i]} for i in range(len(want))] == [{w} for w in want]
 
 
+def test_discovered_values_make_more_patterns_trusted(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ROUNDS", 1)
+    seen = lambda before, values: [(v, k, before, "", "") for v, k in values]
+    hop = [[(f"id{h}{i}", -1) for i in range(8)] for h in range(5)]
+    occ = seen("w0", [*((f"seed{i}", 0) for i in range(40)), *hop[0]])
+    for h in range(1, 5):
+        occ += seen(f"w{h}", [*hop[h - 1], hop[h][0]]) + [(v, -1, f"w{h + 1}", "", "") for v, _ in hop[h][:1]]
+        hop[h] = [hop[h][0], *hop[h - 1][1:]]
+    found = {r["value"]: r["kind"] for r in pii.bootstrap(spark.createDataFrame(occ, "value string, kind int, before string, before2 string, after string")).collect()}
+    assert {"id00", "id03", "id10", "id20", "id30", "id40"} <= set(found) and set(found.values()) == {0}
+
+
 def test_overlapping_spans_are_redacted_once(spark):
     t = "a +4111 1111 1111 1111 b 10.0.0.1 é u@v.wx"
     df = spark.createDataFrame([(None, t), (None, t)], "doc_id long, text string")

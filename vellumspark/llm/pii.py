@@ -34,7 +34,7 @@ EDGES = ".,;:!?\"'()[]{}<>=#*&%$|`"
 SHORTEST, HASHED, FEWEST_DIGITS = 6, 65, 4
 #: Words of context kept at most, in characters.
 CONTEXT = 24
-#: A pattern needs so many distinct seeds of a kind, and such a share of its values; a value such a score.
+#: A pattern needs so many distinct seeds or discovered values of a kind, and such a share of its values; a value such a score.  Turns at least.
 MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE, ROUNDS = 3, 0.8, 0.9, 3
 
 OCC = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("before", pa.string()), ("before2", pa.string()), ("after", pa.string())]))
@@ -213,24 +213,34 @@ def bootstrap(occ: DataFrame) -> DataFrame:
     # a value that is a seed anywhere is a seed of that kind
     edges = materialise(occ.select(pattern.alias("pattern"), F.xxhash64("value").alias("v"), "value", "kind").groupBy("pattern", "v", "value").agg(F.max("kind").alias("kind")), "edges")
     unknown = edges.where("kind < 0")
-    # seeds never change: their part of a pattern is summed once
-    seeds = materialise(edges.groupBy("pattern").agg(F.greatest(F.count_if(F.col("kind") > -2), F.lit(1)).alias("n"), *(F.count_if(F.col("kind") == k).alias(f"s{k}") for k in range(4))).where(" or ".join(f"s{k} >= {MIN_SEEDS}" for k in range(4))), "seeds")
+    # a pattern of fewer values can never be trusted; seeds never change: their part of a pattern is summed once
+    seeds = materialise(edges.groupBy("pattern").agg(F.greatest(F.count_if(F.col("kind") > -2), F.lit(1)).alias("n"), F.count("*").alias("met"), *(F.count_if(F.col("kind") == k).alias(f"s{k}") for k in range(4))).where(F.col("met") >= MIN_SEEDS).drop("met"), "seeds")
     scores: DataFrame | None = None
-    for _ in range(ROUNDS):
-        if scores is None:
-            trust = seeds.select("pattern", *(F.when(F.col(f"s{k}") >= MIN_SEEDS, F.col(f"s{k}") / F.col("n")).otherwise(0.0).alias(f"c{k}") for k in range(4)))
-        else:
-            gained = unknown.join(bounded(scores), ["v", "value"]).groupBy("pattern").agg(*(F.sum(F.when(F.col("best") == k, F.col("score")).otherwise(0.0)).alias(f"g{k}") for k in range(4)))
-            both = seeds.join(gained, "pattern", "left")
-            trust = both.select("pattern", *(F.when(F.col(f"s{k}") >= MIN_SEEDS, F.least(F.lit(1.0), (F.col(f"s{k}") + F.coalesce(f"g{k}", F.lit(0.0))) / F.col("n"))).otherwise(0.0).alias(f"c{k}") for k in range(4)))
+    turn, reached = 0, (-1, -1)
+    while True:
+        known = [f"s{k}" for k in range(4)]
+        both = seeds.select("pattern", "n", *known, *(F.lit(0.0).alias(f"g{k}") for k in range(4)), *(F.lit(0).cast("long").alias(f"d{k}") for k in range(4)))
+        if scores is not None:
+            of = lambda k: F.col("best") == k
+            gained = unknown.join(bounded(scores), ["v", "value"]).groupBy("pattern").agg(
+                *(F.sum(F.when(of(k), F.col("score")).otherwise(0.0)).alias(f"g{k}") for k in range(4)), *(F.count_if(of(k) & (F.col("score") >= MIN_SCORE)).alias(f"d{k}") for k in range(4))
+            )
+            new = [f"{x}{k}" for x in "gd" for k in range(4)]
+            both = seeds.join(gained, "pattern", "left").select("pattern", "n", *known, *(F.coalesce(c, F.lit(0)).alias(c) for c in new))
+        trust = both.select("pattern", *(F.when(F.col(f"s{k}") + F.col(f"d{k}") >= MIN_SEEDS, F.least(F.lit(1.0), (F.col(f"s{k}") + F.col(f"g{k}")) / F.col("n"))).otherwise(0.0).alias(f"c{k}") for k in range(4)))
         trusted = materialise(trust.where(" or ".join(f"c{k} >= {MIN_CONFIDENCE}" for k in range(4))), "trusted")
         logs = [F.sum(F.when(F.col(f"c{k}") >= MIN_CONFIDENCE, F.log(F.greatest(1 - F.col(f"c{k}"), F.lit(0.05)))).otherwise(0.0)).alias(f"l{k}") for k in range(4)]
         by_value = unknown.join(bounded(trusted), "pattern").groupBy("v", "value").agg(*logs)
         top = F.least(*(F.col(f"l{k}") for k in range(4)))
         best = F.coalesce(*(F.when(F.col(f"l{k}") == top, F.lit(k)) for k in range(4)))
         fresh = materialise(by_value.select("v", "value", best.alias("best"), (1 - F.exp(top)).alias("score")), "scores")
+        now = (fresh.where(F.col("score") >= MIN_SCORE).count(), trusted.count())
         discard(scores, trusted)
-        scores = fresh
+        scores, turn = fresh, turn + 1
+        # a pattern trusted in this turn may bring its values over the score in the next
+        if turn >= ROUNDS and now[0] <= reached[0] and now[1] <= reached[1]:
+            break
+        reached = now
     discard(edges, seeds)
     return scores.where(F.col("score") >= MIN_SCORE).select("value", F.col("best").alias("kind"), "score")
 
