@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from vellumspark.llm import url_filter, warc
+from vellumspark.llm import common, url_filter, warc
 from vellumspark.llm.common import new_path
 from vellumspark.llm.queries import URL_RULES
 
@@ -135,6 +135,31 @@ def test_warc_round_trip_with_version_lines_inside(spark):
     assert got.where("truncated").isEmpty()
 
 
+def test_line_separators_lose_no_page(spark):
+    body = "<p>" + "same " * 40
+    rows, n = [], 0
+    for c in ("\x85", "\u2028", "\u2029", "\x0b", "\x0c", "\r", "\n", "\r\n", "\x00"):
+        for name in ("Content-Length: 3", "WARC-Refers-To: <urn:vellum:id:2>", "WARC-Type: revisit"):
+            rows += [(n, f"http://a{c}{name}{c}", body), (n + 1, f"{c}{name}", f"own {n} " * 30), (n + 2, "http://b", f"x{c}{name}{c}")]
+            n += 3
+    path = new_path(spark, "warc-separators")
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = warc.read_warc(spark, path)
+    assert read_back(got) == brute_records(rows) and got.where("truncated").isEmpty()
+    uris = {r["target_uri"] for r in got.collect()}
+    assert {"http://a%E2%80%A8Content-Length: 3%E2%80%A8", "%C2%85WARC-Type: revisit", "%0D%0AWARC-Type: revisit"} <= uris
+
+
+def test_a_payload_that_most_pages_share(spark, monkeypatch):
+    rows = [(i, "http://h/", "same " * 40 if i % 3 else f"own {i // 6} " * 30) for i in range(600)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "HOT", 10)
+    path = new_path(spark, "warc-hot")
+    warc.write_warc(df, path)
+    assert read_back(warc.read_warc(spark, path)) == brute_records(rows)
+
+
 def test_plain_archives_are_split(spark, tmp_path):
     rows, df = pages(spark)
     path = new_path(spark, "warc-gz")

@@ -13,11 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import shipping
 
-#: Rows up to which a table written beforehand may be broadcast; its rows here are a few fixed-width columns.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and bytes as they lie in memory, up to which a table written beforehand may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: A key is hot if it has over one in so many of a table's rows; there are at most so many of them.
+HOT = 1000
 SETTING = "spark.checkpoint.dir"
 #: Bytes of an Arrow batch while tables are written.
 BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
@@ -27,10 +30,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset a local one in local mode (tests), and an error on a cluster."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"set {SETTING} to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="vellum-")
@@ -66,20 +72,78 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables of :func:`materialise` that nothing reads any more."""
     for table in tables:
         path = getattr(table, "_vellum_path", None)
         if path:
-            jvm = table.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            delete(table.sparkSession, path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as keep it apart from the columns of ``df``, whose case does not count."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def width(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.StructType):
+        return sum((width(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(value, F.lit(24).cast("long"), lambda acc, x: acc + width(x, kind.elementType)), F.lit(24).cast("long"))
+    return F.lit(8).cast("long")
 
 
-def bounded(table: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
-    """``table`` (written beforehand) marked for broadcast if its counted rows, or the sum of ``weight`` over them, are within the bound."""
-    n = table.count() if weight is None else table.agg(F.sum(weight)).first()[0] or 0
-    return F.broadcast(table) if n <= rows else table
+def fits(table: DataFrame) -> bool:
+    """Whether a table written beforehand is within the bounds of rows and bytes for a broadcast."""
+    size = sum((width(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields), F.lit(32).cast("long"))
+    rows, total = table.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and total <= BROADCAST_BYTES
+
+
+def bounded(table: DataFrame) -> DataFrame:
+    """``table`` (written beforehand) marked for broadcast if its measured size is within the bounds."""
+    return F.broadcast(table) if fits(table) else table
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", weight: str | None = None) -> DataFrame:
+    """``rows`` joined (inner or left) with a written ``table`` of unique ``keys``, so that no key is gathered in one task.
+
+    A small table is broadcast.  Of a larger one only the hot keys are, of which there are at most HOT, and their rows stay where they are; all others are
+    joined by a shuffle.  ``weight`` names the column that holds how many of the rows a key has, which is then not counted again but for its sum.
+    Rows with a null key match nothing and are not shuffled.
+    """
+    if fits(table):
+        return rows.join(F.broadcast(table), keys, how)
+    if weight is None:
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    else:
+        counts = table.select(*keys, F.col(weight).alias("__n"))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    hot = F.broadcast(materialise(counts.where(F.col("__n") > max(1, total // HOT)).select(*keys), "hot"))
+    often = rows.join(hot, keys, "left_semi").join(F.broadcast(table.join(hot, keys, "left_semi")), keys, how)
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    rest = rows.where(~null).join(hot, keys, "left_anti").join(table.join(hot, keys, "left_anti"), keys, how)
+    out = often.unionByName(rest)
+    if how == "left":
+        more = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields if f.name not in keys]
+        out = out.unionByName(rows.where(null).select("*", *more))
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -96,7 +160,7 @@ def components(edges: DataFrame) -> DataFrame:
         p = materialise(both.groupBy("node").agg(F.least("node", F.min("to")).alias("root")), "hook")
         while True:
             q = p.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = materialise(p.join(q, "root").select("node", F.col("above").alias("root"), (F.col("root") != F.col("above")).alias("moved")), "jump")
+            jumped = materialise(attach(p.select("node", "root"), q, ["root"]).select("node", F.col("above").alias("root"), (F.col("root") != F.col("above")).alias("moved")), "jump")
             discard(p)
             p = jumped
             if p.where("moved").isEmpty():
@@ -104,7 +168,7 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(p)
         up = p.select(F.col("node").alias("u"), F.col("root").alias("ru"))
         vp = p.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        smaller = e.join(up, "u").join(vp, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
+        smaller = attach(attach(e, up, ["u"]), vp, ["v"]).where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
         nxt = materialise(smaller, "edges")
         discard(e)
         e = nxt
@@ -114,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
     out = maps[0].select("node", "root")
     for later in maps[1:]:
         step = later.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        out = out.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+        out = attach(out, step, ["root"], "left").select("node", F.coalesce("above", "root").alias("root"))
     return out
 
 

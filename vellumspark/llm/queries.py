@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, embed_dedup, jaccard_join, line_dedup, packing, pii, quality, sharding, url_filter, warc
-from .common import new_path
+from .common import delete, materialise, new_path
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 SLOTS = 65537
@@ -45,13 +45,16 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_warc(pages, path)
     r = warc.read_warc(spark, path)
     response = F.col("record_type") == "response"
-    return r.select(
+    digests = r.select(
         warc.key_of(F.col("record_id"), kind).alias("page_id"),
         F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(response, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
         "record_type",
         warc.key_of(F.col("refers_to"), kind).alias("refers_to"),
     )
+    done = materialise(digests, "pages")
+    delete(spark, path)
+    return done
 
 
 OP3_SQL = """

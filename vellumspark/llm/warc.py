@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, map_arrow, materialise
+from .common import attach, bounded, discard, map_arrow, materialise
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -21,6 +21,8 @@ URN = "urn:vellum:"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Payloads below this many bytes are never revisits; records a file; date of records, a parameter so that files can be compared.
 SMALL, RECORDS, DATE = 100, 2000, "2026-01-01T00:00:00Z"
+#: What may not stand in a header line; in headers only a line feed ends a line (flag d).
+CONTROL = r"[\x00-\x1F\x7F-\x9F\x{2028}\x{2029}]"
 
 
 def urn(key: Column) -> Column:
@@ -32,20 +34,28 @@ def key_of(name: Column, kind: str) -> Column:
     return F.url_decode(F.nullif(F.regexp_extract(name, f"^<?{URN}id:([^>]*)>?$", 1), F.lit(""))).cast(kind)
 
 
+def one_line(url: Column) -> Column:
+    """``url`` with control characters and line separators as percent escapes, so that it stays within its header line."""
+    escaped = F.array_join(F.transform(F.split(url, ""), lambda x: F.when(x.rlike(CONTROL), F.url_encode(x)).otherwise(x)), "")
+    return F.when(url.rlike(CONTROL), escaped).otherwise(url)
+
+
 def write_warc(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = DATE) -> None:
     """Write a record for each row: a response, or a revisit where a row with a smaller id has the same payload of at least 100 bytes.
 
-    Null payloads are empty, null URLs name the record itself, line breaks in URLs are escaped.  Null ids come last; rows that share the
-    smallest id are all responses.  Files are gzip streams of at most 2000 records.  Payloads are not shuffled while the table of repeated
-    payloads is within the broadcast bound.
+    Null payloads are empty, null URLs name the record itself, control characters and line separators in URLs are percent escapes.  Null ids come
+    last; rows that share the smallest id are all responses.  Files are gzip streams of at most 2000 records.  Payloads are not shuffled while the
+    table of repeated payloads is within the broadcast bound, and those repeated very often never.  Other columns are not read, whatever their
+    names; an empty table gives a folder without records.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit("")).cast("binary")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    firsts = materialise(rows.where(F.octet_length("payload") >= SMALL).groupBy(F.col("digest").alias("again")).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("again", "first"), "repeats")
-    long = F.octet_length("payload") >= SMALL
-    joined = rows.join(bounded(firsts), (F.col("digest") == F.col("again")) & long, "left")
+    # a null key is no repeat: short payloads are not looked up
+    rows = rows.withColumn("again", F.when(F.octet_length("payload") >= SMALL, F.col("digest")))
+    firsts = materialise(rows.where("again is not null").groupBy("again").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "repeats")
+    joined = attach(rows, firsts, ["again"], "left", weight="n")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    uri = F.coalesce(F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")), urn(F.col("id")))
+    uri = F.coalesce(one_line(F.col("url")), urn(F.col("id")))
     size = F.octet_length("payload").cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(END))
     block = F.when(revisit, http.cast("binary")).otherwise(F.concat(http.cast("binary"), F.col("payload")))
@@ -92,7 +102,7 @@ def candidates(pieces: DataFrame) -> DataFrame:
     text = F.col("value").cast("string")
     head = F.substring_index(text, END, 1)
     has = F.octet_length(head) < F.octet_length("value")
-    length = F.when(has, F.regexp_extract(head, r"(?im)^Content-Length:[ \t]*([0-9]{1,15})[ \t]*\r?$", 1))
+    length = F.when(has, F.regexp_extract(head, r"(?dim)^Content-Length:[ \t]*([0-9]{1,15})[ \t]*\r?$", 1))
     one = pieces.select("f", "block", "idx", "local", F.octet_length("value").cast("long").alias("size"), F.octet_length(head).cast("long").alias("head"), F.nullif(length, F.lit("")).cast("long").alias("length"))
     one = materialise(one, "pieces")
     before = Window.partitionBy("f").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,7 +134,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     content, payload (content without its HTTP header) and truncated.
 
     Reads gzip or plain archives through Spark's text source, so plain ones are split.  What precedes the first version line, pieces that no record
-    reaches, and files that don't start with a version line give no rows.
+    reaches, and files that don't start with a version line give no rows; an empty folder gives none either.  Repeated records are rows of their own;
+    a header field that is missing or empty is null.
     """
     pieces = segments(spark, path)
     found = candidates(pieces)
@@ -133,11 +144,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         pieces = materialise(pieces, "archive")
         found = candidates(pieces)
     chain = reachable(found)
-    marked = found.join(chain.withColumn("linked", F.lit(True)), ["f", "at"], "left")
-    owner = F.last(F.when(F.col("linked"), F.col("at")), ignorenulls=True).over(Window.partitionBy("f").orderBy("at"))
-    odd = marked.withColumn("owner", owner).where("linked is null or next is null or next <> end").select(F.col("f").alias("xf"), F.col("block").alias("xb"), F.col("idx").alias("xi"), "at", "owner")
+    marked = materialise(found.join(chain.withColumn("linked", F.lit(True)), ["f", "at"], "left"), "marked")
+    # the last linked record before a piece: in its own split, else that of the splits before, so that a large file is no single task
+    here = F.last(F.when(F.col("linked"), F.col("at")), ignorenulls=True).over(Window.partitionBy("f", "block").orderBy("at"))
+    ends = marked.groupBy("f", "block").agg(F.max(F.when(F.col("linked"), F.col("at"))).alias("end_at"))
+    carried = ends.select("f", "block", F.max("end_at").over(Window.partitionBy("f").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    odd = marked.withColumn("here", here).join(carried, ["f", "block"]).withColumn("owner", F.coalesce("here", "carried")).where("linked is null or next is null or next <> end").select(F.col("f").alias("xf"), F.col("block").alias("xb"), F.col("idx").alias("xi"), "at", "owner")
     odd = materialise(odd, "odd")
-    discard(chain)
+    discard(chain, marked)
     rest = pieces.where("block > 0 or idx > 0").join(bounded(odd), (F.col("f") == F.col("xf")) & (F.col("block") == F.col("xb")) & (F.col("idx") == F.col("xi")), "left")
     plain = rest.where("xi is null").select("file", "value")
     parts = rest.where("owner is not null").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("string").alias("v")))).alias("p"))
@@ -147,7 +161,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed(records: DataFrame) -> DataFrame:
     head = F.substring_index(F.col("value").cast("string"), END, 1)
-    field = lambda name: F.nullif(F.trim(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
+    field = lambda name: F.nullif(F.trim(F.regexp_extract("head", rf"(?dim)^{name}:[ \t]*([^\r\n]*)", 1)), F.lit(""))
     one = records.select("file", "value", head.alias("head")).withColumn("length", field("Content-Length").try_cast("long"))
     start = F.octet_length("head") + len(END)
     content = F.substring(F.col("value"), start + 1, F.least(F.coalesce(F.col("length"), F.lit(0)), F.lit(2**31 - 1)).cast("int"))
