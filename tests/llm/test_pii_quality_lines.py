@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
@@ -77,6 +79,76 @@ def test_discovered_values_make_more_patterns_trusted(spark, monkeypatch):
     assert {"id00", "id03", "id10", "id20", "id30", "id40"} <= set(found) and set(found.values()) == {0}
 
 
+def brute_bootstrap(occ):
+    """The same turns over sets in plain Python; ``occ``: (value, kind, words by name)."""
+    known, least, edges, scores = {}, {}, defaultdict(set), {}
+    for v, k, _ in occ:
+        known[v], least[v] = max(known.get(v, k), k), min(least.get(v, k), k)
+    for v, _, words in occ:
+        for name, parts in pii.PATTERNS.items():
+            if all(words.get(w) for w in parts):
+                edges[" ".join([name, *(words[w] for w in parts)])].add(v)
+    turn, reached = 0, (-1, -1)
+    while True:
+        errs = defaultdict(lambda: [0.0] * 4)
+        trusted = 0
+        for values in edges.values():
+            share = []
+            for k in range(4):
+                seeds = sum(known[v] == k for v in values)
+                gained = [scores[v][1] for v in values if v in scores and scores[v][0] == k]
+                enough = seeds + sum(x >= pii.MIN_SCORE for x in gained) >= pii.MIN_SEEDS
+                share.append(min(1.0, (seeds + sum(gained)) / len(values)) if enough else 0.0)
+            trusted += max(share) >= pii.MIN_CONFIDENCE
+            for v in values:
+                for k in range(4):
+                    if known[v] < 0 and max(share) >= pii.MIN_CONFIDENCE:
+                        errs[v][k] += math.log(max(1 - share[k], 0.05)) if share[k] >= pii.MIN_CONFIDENCE else 0.0
+        scores = {v: (e.index(min(e)), 1 - math.exp(min(e))) for v, e in errs.items()}
+        turn += 1
+        now = (sum(s >= pii.MIN_SCORE for _, s in scores.values()), trusted)
+        if turn >= pii.ROUNDS and now[0] <= reached[0] and now[1] <= reached[1]:
+            break
+        reached = now
+    return {v: s for v, s in scores.items() if s[1] >= pii.MIN_SCORE} | {v: (k, 1.0) for v, k in known.items() if k >= 0 and least[v] < 0}
+
+
+def test_bootstrap_equals_plain_python(spark):
+    rng = random.Random(31)
+    found = 0
+    for _ in range(2):
+        occ = []
+        for _ in range(1500):
+            topic = rng.randint(0, 30)
+            kind = topic % 4 if rng.random() < 0.9 - topic / 60 else rng.choice([-1, -1, -2, (topic + 1) % 4])
+            occ.append((f"v{topic}x{rng.randint(0, 30)}" if rng.random() < 0.7 else f"w{rng.randint(0, 400)}", kind, {w: rng.choice(["", None, f"{w[0]}{topic}", f"{w[0]}{topic}", f"{w[0]}{topic % 7}"]) for w in pii.WORDS}))
+        df = spark.createDataFrame([(v, k, *w.values()) for v, k, w in occ], "value string, kind int, " + ", ".join(f"{w} string" for w in pii.WORDS))
+        got = {r["value"]: (r["kind"], r["score"]) for r in pii.bootstrap(df).collect()}
+        want = brute_bootstrap(occ)
+        assert {v: k for v, (k, _) in got.items()} == {v: k for v, (k, _) in want.items()}
+        assert all(abs(got[v][1] - want[v][1]) < 1e-9 for v in want)
+        found += len(want)
+    assert found > 20
+
+
+def test_spans_over_two_hops(spark):
+    texts = [f"please write to user{i}@mail{i}.example.com today" for i in range(24)]
+    texts += [f"please write to nick{i}@home today" for i in range(6)] + [f"find nick{i}@home in the yard" for i in range(6)] + ["find someone4444@there in the yard", "lost code 4444 of a thing"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    cut = lambda i: [(s["kind"], texts[i][s["start"] : s["end"]]) for s in rows[i]]
+    nicks = [[(0, f"nick{i}@home")] for i in range(6)]
+    assert [cut(i) for i in range(24, 38)] == [*nicks, *nicks, [(0, "someone4444@there")], []]
+
+
+def test_numbers_side_by_side_are_cut(spark):
+    run = "+1 (269) 555-3296 4111111111111111"
+    assert brute_spans(run) == [] and pii.parts(run, 0, len(run)) == [(0, 17), (18, 34)]
+    assert pii.parts("12 4111 1111 1111 1111 7", 0, 24) == [(3, 22)] and pii.parts("1.2.3.4444", 0, 10) == []
+    texts = [f"a word {i} +1 (743) 555-38{i} and more" for i in range(10, 22)] + [f"a word {i} {run} and more" for i in range(3)] + ["paid by 4111111111111111 now"]
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {(s["kind"], texts[12][s["start"] : s["end"]]) for s in rows[12]} >= {(2, "4111111111111111")}
+
+
 def test_overlapping_spans_are_redacted_once(spark):
     t = "a +4111 1111 1111 1111 b 10.0.0.1 é u@v.wx"
     df = spark.createDataFrame([(None, t), (None, t)], "doc_id long, text string")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, grouped, local_roots, map_arrow, materialise
+from .common import attach, discard, grouped, local_roots, map_arrow, materialise
 
 
 #: Members from which a group is searched for a core, members that its pivot is made of, and blocks that the rest of such a group has at least where
@@ -91,8 +91,9 @@ Near = Callable[[pa.RecordBatch], list[bool]]
 def verified(members: DataFrame, group: str, size: str, member: str, weight: str, per_block: int, keep: list[str], linker: Linker, pivot: Pivot, near: Near) -> DataFrame:
     """:func:`linked` for whole groups; ``members`` is a written table.
 
-    Distances obey the triangle inequality: members within half the linking distance of any one point all link with one another.  In a large group such a core
-    is counted without comparing its pairs, and only pairs with a member outside it are compared, so a tight group costs time in proportion to its size.
+    Distances obey the triangle inequality: members within half the linking distance of any one point all link with one another.  In a group of over CORE_FROM
+    members such a core is counted without comparing its pairs, and only pairs with a member outside it are compared, so a tight group costs time in
+    proportion to its size.  The result is that of comparing all pairs, whatever the size.
     """
     parts = linked(block_rows(members.where(F.col(size) <= CORE_FROM), group, size, member, per_block, keep), group, member, weight, linker)
     large = members.where(F.col(size) > CORE_FROM)
@@ -110,10 +111,10 @@ def verified(members: DataFrame, group: str, size: str, member: str, weight: str
     pivots = materialise(grouped(sample, [group], centre, f"{group} long, pivot binary"), "pivots")
     names = large.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in large.schema) + ", core boolean"
-    marked = materialise(map_arrow(large.join(bounded(pivots, weight=F.octet_length("pivot")), group).select(*names, "pivot"), judge, schema), "marked")
+    marked = materialise(map_arrow(attach(large, pivots, [group]).select(*names, "pivot"), judge, schema), "marked")
     discard(pivots)
     counts = [F.count_if("core").alias("n_core"), F.count_if(~F.col("core")).alias("n_rim"), F.sum(F.when(F.col("core"), F.col(weight))).alias("all"), F.min(F.when(F.col("core"), F.col(member))).alias("root")]
-    known = marked.join(bounded(materialise(marked.groupBy(group).agg(*counts), "cores")), group)
+    known = attach(marked, materialise(marked.groupBy(group).agg(*counts), "cores"), [group])
     within = known.where("core and n_core > 1").select(member, (F.col("all") - F.col(weight)).cast("long").alias("links"), "root")
     across = linked(rim_rows(known, group, member, per_block, keep), group, member, weight, linker)
     return parts.unionByName(across).unionByName(within)

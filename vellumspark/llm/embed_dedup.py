@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import block_rows, linked, verified
-from .common import bounded, components, discard, local_roots, map_arrow, materialise
+from .common import attach, bounded, components, discard, local_roots, map_arrow, materialise
 
 THRESHOLD, WINDOW, BITS, RECALL, SEED = 0.9, 64, 48, 0.95, 11
 #: Vectors of a group that a task compares at a time, on either side.
@@ -142,7 +142,7 @@ def all_stars(vectors: DataFrame, threshold: float) -> DataFrame:
     def linker(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return np.nonzero(matrix(x) @ matrix(y).T >= threshold - ROUNDING)
 
-    rows = block_rows(vectors.join(bounded(sizes), "dim"), "dim", "size", "uid", PER_BLOCK, ["uid", "v"])
+    rows = block_rows(vectors.join(F.broadcast(sizes), "dim"), "dim", "size", "uid", PER_BLOCK, ["uid", "v"])
     return linked(rows, "dim", "uid", None, linker).select(F.col("uid").alias("u"), F.col("root").alias("v"))
 
 
@@ -196,7 +196,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     stars = found_stars(table.where("dim > 0").select("uid", "dim", "v"), n, threshold, window, recall)
     found = materialise(components(stars).select(F.col("node").alias("uid"), F.col("root").alias("grp")), "groups")
     sizes = materialise(found.groupBy("grp").agg(F.count("*").alias("size")), "sizes")
-    members = materialise(found.join(bounded(sizes), "grp").join(table.select("uid", "dim", "v"), "uid").withColumn("one", F.lit(1).cast("long")), "members")
+    members = materialise(attach(found, sizes, ["grp"], weight="size").join(table.select("uid", "dim", "v"), "uid").withColumn("one", F.lit(1).cast("long")), "members")
     half = math.cos(math.acos(threshold) / 2 - 1e-9)
 
     def linker(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -214,7 +214,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     roots = components(counted.select(F.col("uid").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("uid"), "root")
     placed = materialise(table.select("uid", "vec_id").join(links, "uid", "left").join(roots, "uid", "left").select("uid", "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), "root"), "placed")
     least = materialise(placed.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least")), "least")
-    out = placed.join(bounded(least), "root", "left")
+    out = attach(placed, least, ["root"], "left")
     own = F.coalesce("least", "vec_id")
     discard(found, sizes, counted, members)
     return out.select("vec_id", "n_links", own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import verified
-from .common import CACHES, bounded, components, discard, map_arrow, materialise
+from .common import CACHES, attach, bounded, components, discard, fresh, map_arrow, materialise
 
 WORDS, SAMPLES, DEPTH, LIMIT, RECALL, SEED = 5, 64, 4, 64, 0.999, 23
 #: Threshold 0.8 as a fraction, so that it is compared in whole numbers.
@@ -121,7 +121,7 @@ def buckets(texts: DataFrame, runs: int) -> DataFrame:
     for level in range(1, DEPTH + 1):
         step = materialise(live.select("rep", F.explode(children(F.col("path"), F.col("sig"))).alias("path")).distinct() if level > 1 else live.select("rep", F.explode(children(F.col("path"), F.col("sig"))).alias("path")), "paths")
         sizes = materialise(step.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path_sizes")
-        met = materialise(step.join(sizes, "path"), "met")
+        met = materialise(attach(step, sizes, ["path"], weight="n"), "met")
         discard(step, sizes)
         if level == DEPTH:
             out.append(met)
@@ -213,7 +213,9 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str, members: DataFrame)
     """(rep, grp, size, copies, set) of the texts that are ``members`` (rep, doc, k1, k2, grp, size, copies)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     src = df.select(F.col(f"`{id_col}`").alias("doc_id"), *text_keys(text), text.alias("text"))
-    only = src.join(bounded(members), ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("doc"))).select("rep", "grp", "size", "copies", "text")
+    # the id is part of the key: copies of a text are spread
+    m = members.withColumnsRenamed({"k1": "m1", "k2": "m2"})
+    only = src.join(bounded(m), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")) & F.col("doc_id").eqNullSafe(F.col("doc"))).select("rep", "grp", "size", "copies", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,7 +242,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = verified(cand, "path", "n", "rep", "one", BLOCK_SAMPLES, ["rep", "sig", "one"], alike, modal, agreeing).select(F.col("rep").alias("u"), F.col("root").alias("v"))
     groups = materialise(components(stars).select(F.col("node").alias("rep"), F.col("root").alias("grp")), "candidate_groups")
     sizes = materialise(groups.groupBy("grp").agg(F.count("*").alias("size")), "group_sizes")
-    members = materialise(groups.join(bounded(sizes), "grp").join(texts.drop("sig"), "rep"), "members")
+    members = materialise(attach(groups, sizes, ["grp"], weight="size").join(texts.drop("sig"), "rep"), "members")
     discard(groups, sizes, cand)
     sets = materialise(shingle_sets(df, id_col, text_col, members), "sets")
     if sets.count() > members.count():  # rows that repeat an id and its text
@@ -250,14 +252,18 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(checked.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "root")
     known = materialise(texts.drop("sig").join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "known")
     least = materialise(known.groupBy("root").agg(F.min("doc").alias("class_id")), "least")
-    classed = materialise(known.join(least, "root").select("k1", "k2", "class_id", "doc", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+    classed = materialise(attach(known, least, ["root"]).select("k1", "k2", "class_id", "doc", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     discard(checked, known, least, members, sets)
-    out = rows.select("doc_id", "k1", "k2").join(classed, ["k1", "k2"], "left")
+    out = attach(rows.select("doc_id", *(F.when(F.col("size") > 0, F.col(k)).alias(k) for k in ("k1", "k2"))), classed, ["k1", "k2"], "left", weight="copies")
     own = F.coalesce("class_id", "doc_id")
     return out.select("doc_id", own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with the smallest id of their class, all columns as they are."""
-    drop = materialise(similar_texts(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
-    return df.join(bounded(drop), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of ``df`` with the smallest id of their class, all columns, of any name, as they are.
+
+    Rows without words, null text included, all stay; rows that share an id go or stay together; an empty table gives an empty result.
+    """
+    (other,) = fresh(df, "__id")
+    drop = materialise(similar_texts(df, id_col, text_col).where("not kept").select(F.col("doc_id").alias(other)).distinct(), "dropped")
+    return df.join(bounded(drop), F.col(f"`{id_col}`").eqNullSafe(F.col(other)), "left_anti")

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, map_arrow, materialise
+from .common import attach, bounded, discard, fresh, map_arrow, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -29,16 +31,19 @@ HINT = re.compile(r"[0-9@]")
 RUN = re.compile(r"[+(\[]{0,2}(?<![0-9])[0-9]++(?:[\x20\t\xa0.()\[\]/-]{1,3}+[0-9]++)++")
 DOT = re.compile(r"\s[(\[]?dot[)\]]?\s", re.IGNORECASE)
 WORDED = re.compile(r"(?<![\w.+-])[\w.+-]++\s{1,2}[(\[]?at[)\]]?\s{1,2}[\w-]++(?:\s{1,2}[(\[]?dot[)\]]?\s{1,2}[\w-]++)++", re.IGNORECASE)
+LETTERS, DIGITS = re.compile(r"[^\W\d_]++"), re.compile(r"\d++")
 EDGES = ".,;:!?\"'()[]{}<>=#*&%$|`"
-#: Length from which tokens may be identifiers, length from which values go by their hash, and how many digits make an identifier.
-SHORTEST, HASHED, FEWEST_DIGITS = 6, 65, 4
-#: Words of context kept at most, in characters.
-CONTEXT = 24
+#: Length from which values and words go by their hash, and how many digits make an identifier.
+HASHED, FEWEST_DIGITS = 65, 4
+#: What stands for a value in the context of another one, by kind; the last ones for unknown kinds.
+PLACES = ("[email]", "[ip]", "[card]", "[phone]", "[?]", "[?]")
+#: Context of an occurrence: words before it from the nearest on, words after it, and the shape of its value.
+WORDS = ("before", "before2", "after", "after2", "shape")
 #: A pattern needs so many distinct seeds or discovered values of a kind, and such a share of its values; a value such a score.  Turns at least.
 MIN_SEEDS, MIN_CONFIDENCE, MIN_SCORE, ROUNDS = 3, 0.8, 0.9, 3
 
-OCC = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("before", pa.string()), ("before2", pa.string()), ("after", pa.string())]))
-OCC_DDL = "array<struct<kind:int,start:bigint,end:bigint,value:string,before:string,before2:string,after:string>>"
+OCC = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), *((w, pa.string()) for w in WORDS)]))
+OCC_DDL = "array<struct<kind:int,start:bigint,end:bigint,value:string," + ",".join(f"{w}:string" for w in WORDS) + ">>"
 
 
 def luhn(digits: str) -> bool:
@@ -79,23 +84,56 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def word_before(text: str, at: int) -> tuple[str, int]:
-    """The word that ends before ``at`` without its edges, at most CONTEXT characters of it, and where it starts."""
-    while at and text[at - 1].isspace():
-        at -= 1
-    end = at
-    while at and not text[at - 1].isspace() and end - at < CONTEXT:
-        at -= 1
-    return text[at:end].strip(EDGES).lower(), at
+class Contexts:
+    """The words around the occurrences (kind, start, end) of a text.
 
+    Blanks and marks between an occurrence and a word don't count; a neighbouring occurrence stands for a word.  No walk goes past a neighbour, so that
+    all of them together take linear time.
+    """
+
+    def __init__(self, text: str, occurrences: list[tuple[int, int, int]]) -> None:
+        self.text = text
+        by_end, by_start = sorted(occurrences, key=lambda o: (o[2], o[1], o[0])), sorted(occurrences, key=lambda o: (o[1], o[2], o[0]))
+        self.ends, self.starts = [o[2] for o in by_end], [o[1] for o in by_start]
+        self.by_end, self.by_start = by_end, by_start
+        self.run_starts, self.run_ends = ({o[i] for o in occurrences if o[0] == -1} for i in (1, 2))
+
+    def before(self, at: int) -> tuple[str, int]:
+        """The word before a place, and where it starts."""
+        i = bisect_right(self.ends, at) - 1
+        stop, text = self.ends[i] if i >= 0 else 0, self.text
+        while at > stop and (text[at - 1].isspace() or text[at - 1] in EDGES):
+            at -= 1
+        if at == stop:
+            return (PLACES[self.by_end[i][0]], self.by_end[i][1]) if i >= 0 else ("", 0)
+        end = at
+        while at > stop and not text[at - 1].isspace():
+            at -= 1
+        return value_of(text[at:end].strip(EDGES)), at
 
-def word_after(text: str, at: int) -> str:
-    while at < len(text) and text[at].isspace():
-        at += 1
-    end = at
-    while end < len(text) and not text[end].isspace() and end - at < CONTEXT:
-        end += 1
-    return text[at:end].strip(EDGES).lower()
+    def after(self, at: int) -> tuple[str, int]:
+        """The word behind a place, and where it ends."""
+        i, text = bisect_left(self.starts, at), self.text
+        stop = self.starts[i] if i < len(self.starts) else len(text)
+        while at < stop and (text[at].isspace() or text[at] in EDGES):
+            at += 1
+        if at == stop:
+            return (PLACES[self.by_start[i][0]], self.by_start[i][2]) if i < len(self.starts) else ("", stop)
+        start = at
+        while at < stop and not text[at].isspace():
+            at += 1
+        return value_of(text[start:at].strip(EDGES)), at
+
+    def around(self, kind: int, start: int, end: int) -> tuple[str, ...]:
+        """The context; a token at a run's edge has none on that side, where it is the run's."""
+        before, at = ("", 0) if kind == -2 and start in self.run_starts else self.before(start)
+        after, to = ("", 0) if kind == -2 and end in self.run_ends else self.after(end)
+        return before, self.before(at)[0] if before else "", after, self.after(to)[0] if after else "", shape_of(self.text[start:end])
+
+
+def shape_of(value: str) -> str:
+    """Runs of digits as 0, of letters as a, other characters as they are; no shape for what holds neither, and hashed where long."""
+    return value_of(LETTERS.sub("a", DIGITS.sub("0", value)))
 
 
 def runs(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
@@ -120,9 +158,33 @@ def runs(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
+def parts(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Phone and card numbers that stand side by side in a run of digit groups, so that the run as a whole is neither: the longest from each place on."""
+    groups = [m.span() for m in DIGITS.finditer(text, start, end)]
+    out, i = [], 0
+    while i < len(groups):
+        a = groups[i][0]
+        plus = a > start and text[a - 1] == "+"
+        best, digits = None, ""
+        for j in range(i, len(groups)):
+            if j > i and not plus and text[groups[j - 1][1] : groups[j][0]] not in (" ", "-"):
+                break
+            digits += text[slice(*groups[j])]
+            if len(digits) > 19 or not digits.isascii():
+                break
+            if 9 <= len(digits) <= 15 if plus else 13 <= len(digits) and luhn(digits):
+                best = j
+        if best is None:
+            i += 1
+        else:
+            out.append((a - plus, groups[best][1]))
+            i = best + 1
+    return out
+
+
 def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(kind, start, end) of other tokens and runs of tokens that could be identifiers, without the marks around them: kind is -2 for tokens within
-    a run, else -1."""
+    a run, else -1.  Runs are cut where numbers stand side by side."""
     hint = HINT.search(text)
     worded = [m.span() for m in WORDED.finditer(text)] if DOT.search(text) else []
     if not hint and not worded:
@@ -131,7 +193,9 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
     wide, at = [], 0
     for start, end in [*taken, (len(text), len(text))]:
         if at < start:
-            wide += [(a, b) for a, b in runs(text, at, start) if b - a >= SHORTEST and sum("0" <= c <= "9" for c in text[a:b]) >= FEWEST_DIGITS]
+            for a, b in runs(text, at, start):
+                if sum("0" <= c <= "9" for c in text[a:b]) >= FEWEST_DIGITS:
+                    wide += parts(text, a, b) or [(a, b)]
         at = max(at, end)
     k = 0
     for a, b in worded:
@@ -162,7 +226,7 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         if within and wide[w] == (a, b):
             continue
         token = text[a:b]
-        if SHORTEST <= b - a and ("@" in token or sum("0" <= c <= "9" for c in token) >= FEWEST_DIGITS):
+        if a < b and ("@" in token or sum("0" <= c <= "9" for c in token) >= FEWEST_DIGITS):
             out.append((-2 if within else -1, a, b))
     return out
 
@@ -183,38 +247,51 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             occ = []
             for t in b.column("text").to_pylist():
                 spans = base_spans(t)
-                found = []
-                for kind, a, e in [*spans, *candidates(t, spans)]:
-                    one, at = word_before(t, a)
-                    found.append({"kind": kind, "start": a, "end": e, "value": value_of(t[a:e]), "before": one, "before2": word_before(t, at)[0], "after": word_after(t, e)})
-                occ.append(found)
+                all_ = [*spans, *candidates(t, spans)]
+                near = Contexts(t, all_)
+                occ.append([{"kind": kind, "start": a, "end": e, "value": value_of(t[a:e]), **dict(zip(WORDS, near.around(kind, a, e), strict=True))} for kind, a, e in all_])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(occ, OCC)], ["doc_id", "key", "occ"])
 
     return map_arrow(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, key long, occ {OCC_DDL}")
 
 
-def bootstrap(occ: DataFrame) -> DataFrame:
-    """(value, kind, score) of values that trusted patterns discover.  ``occ``: (value, kind, before, before2, after), kind -1 where unknown,
-    -2 where also part of a longer candidate: such values do not count against a pattern.
+#: Patterns by name: the parts of a context that they hold.  A shape alone is none, as it says no more of a value than what it looks like.
+PATTERNS = {
+    "b": ("before",),
+    "bb": ("before2", "before"),
+    "ba": ("before", "after"),
+    "a": ("after",),
+    "aa": ("after", "after2"),
+    "sb": ("shape", "before"),
+    "sa": ("shape", "after"),
+}
+
 
-    A pattern is a word, or two, before the value or the words on both its sides.  Patterns and values meet as distinct edges; one word that comes
-    before a third of all values is an edge for each value, pre-aggregated before it is dealt out, and is never gathered in one row.
+def bootstrap(occ: DataFrame) -> DataFrame:
+    """(value, kind, score) of values that trusted patterns discover, and of known values that are no seeds in other places (score 1).  ``occ``: (value,
+    kind, *WORDS), kind below 0 where unknown.
+
+    Patterns and values meet as distinct edges; one word that comes before a third of all values is an edge for each value, pre-aggregated before it is
+    dealt out, and is never gathered in one row.  A pattern's confidence in a kind is the share of its values that have it, discovered ones by their score;
+    it is trusted from MIN_SEEDS such values and MIN_CONFIDENCE on.  A value's score is the probability that not all of its trusted patterns err.
+    Turns go on until neither values nor trusted patterns are added.  A pattern needs all of its words: null and empty ones, and columns that ``occ`` lacks,
+    make none.
     """
-    pattern = F.explode(
-        F.filter(
-            F.array(
-                F.when(F.col("before") != "", F.concat(F.lit("b "), "before")),
-                F.when((F.col("before") != "") & (F.col("before2") != ""), F.concat(F.lit("bb "), "before2", F.lit(" "), "before")),
-                F.when((F.col("before") != "") & (F.col("after") != ""), F.concat(F.lit("ba "), "before", F.lit(" "), "after")),
-            ),
-            lambda x: x.isNotNull(),
-        )
-    )
-    # a value that is a seed anywhere is a seed of that kind
-    edges = materialise(occ.select(pattern.alias("pattern"), F.xxhash64("value").alias("v"), "value", "kind").groupBy("pattern", "v", "value").agg(F.max("kind").alias("kind")), "edges")
+    named = []
+    for name, words in PATTERNS.items():
+        if set(words) <= set(occ.columns):
+            filled = [F.coalesce(F.col(w), F.lit("")) != "" for w in words]
+            named.append(F.when(reduce(Column.__and__, filled), F.concat_ws(" ", F.lit(name), *words)))
+    pattern = F.explode(F.filter(F.array(*named), lambda x: x.isNotNull()))
+    met = materialise(occ.select(pattern.alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "met")
+    # a value that is a seed anywhere is a seed of that kind, under every pattern
+    kinds = materialise(occ.groupBy("value").agg(F.max("kind").alias("known"), F.min("kind").alias("least")), "kinds")
+    edges = materialise(attach(met, kinds, ["value"]).select("pattern", "value", F.col("known").alias("kind")), "edges")
+    again = kinds.where("known >= 0 and least < 0").select("value", F.col("known").alias("kind"), F.lit(1.0).alias("score"))
+    discard(met)
     unknown = edges.where("kind < 0")
     # a pattern of fewer values can never be trusted; seeds never change: their part of a pattern is summed once
-    seeds = materialise(edges.groupBy("pattern").agg(F.greatest(F.count_if(F.col("kind") > -2), F.lit(1)).alias("n"), F.count("*").alias("met"), *(F.count_if(F.col("kind") == k).alias(f"s{k}") for k in range(4))).where(F.col("met") >= MIN_SEEDS).drop("met"), "seeds")
+    seeds = materialise(edges.groupBy("pattern").agg(F.count("*").alias("n"), *(F.count_if(F.col("kind") == k).alias(f"s{k}") for k in range(4))).where(F.col("n") >= MIN_SEEDS), "seeds")
     scores: DataFrame | None = None
     turn, reached = 0, (-1, -1)
     while True:
@@ -222,7 +299,7 @@ def bootstrap(occ: DataFrame) -> DataFrame:
         both = seeds.select("pattern", "n", *known, *(F.lit(0.0).alias(f"g{k}") for k in range(4)), *(F.lit(0).cast("long").alias(f"d{k}") for k in range(4)))
         if scores is not None:
             of = lambda k: F.col("best") == k
-            gained = unknown.join(bounded(scores), ["v", "value"]).groupBy("pattern").agg(
+            gained = attach(unknown, scores, ["value"]).groupBy("pattern").agg(
                 *(F.sum(F.when(of(k), F.col("score")).otherwise(0.0)).alias(f"g{k}") for k in range(4)), *(F.count_if(of(k) & (F.col("score") >= MIN_SCORE)).alias(f"d{k}") for k in range(4))
             )
             new = [f"{x}{k}" for x in "gd" for k in range(4)]
@@ -230,27 +307,27 @@ def bootstrap(occ: DataFrame) -> DataFrame:
         trust = both.select("pattern", *(F.when(F.col(f"s{k}") + F.col(f"d{k}") >= MIN_SEEDS, F.least(F.lit(1.0), (F.col(f"s{k}") + F.col(f"g{k}")) / F.col("n"))).otherwise(0.0).alias(f"c{k}") for k in range(4)))
         trusted = materialise(trust.where(" or ".join(f"c{k} >= {MIN_CONFIDENCE}" for k in range(4))), "trusted")
         logs = [F.sum(F.when(F.col(f"c{k}") >= MIN_CONFIDENCE, F.log(F.greatest(1 - F.col(f"c{k}"), F.lit(0.05)))).otherwise(0.0)).alias(f"l{k}") for k in range(4)]
-        by_value = unknown.join(bounded(trusted), "pattern").groupBy("v", "value").agg(*logs)
+        by_value = attach(unknown, trusted, ["pattern"]).groupBy("value").agg(*logs)
         top = F.least(*(F.col(f"l{k}") for k in range(4)))
         best = F.coalesce(*(F.when(F.col(f"l{k}") == top, F.lit(k)) for k in range(4)))
-        fresh = materialise(by_value.select("v", "value", best.alias("best"), (1 - F.exp(top)).alias("score")), "scores")
-        now = (fresh.where(F.col("score") >= MIN_SCORE).count(), trusted.count())
+        found = materialise(by_value.select("value", best.alias("best"), (1 - F.exp(top)).alias("score")), "scores")
+        now = (found.where(F.col("score") >= MIN_SCORE).count(), trusted.count())
         discard(scores, trusted)
-        scores, turn = fresh, turn + 1
+        scores, turn = found, turn + 1
         # a pattern trusted in this turn may bring its values over the score in the next
         if turn >= ROUNDS and now[0] <= reached[0] and now[1] <= reached[1]:
             break
         reached = now
     discard(edges, seeds)
-    return scores.where(F.col("score") >= MIN_SCORE).select("value", F.col("best").alias("kind"), "score")
+    return scores.where(F.col("score") >= MIN_SCORE).select("value", F.col("best").alias("kind"), "score").unionByName(again)
 
 
 def scanned_and_found(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The written scan, and (uid, found array<struct<kind,start,end>>) of rows with discovered spans."""
     table = materialise(scan(df, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "pii")
     occ = table.select("uid", F.explode("occ").alias("o")).select("uid", "o.*")
-    values = materialise(bootstrap(occ), "values")
-    places = occ.where("kind < 0").drop("kind").join(bounded(values.select("value", "kind")), "value")
+    values = materialise(bootstrap(occ).select("value", "kind"), "values")
+    places = attach(occ.where("kind < 0").select("uid", "value", "start", "end"), values, ["value"])
     found = places.groupBy("uid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("found"))
     return table, materialise(found, "found")
 
@@ -270,22 +347,24 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     table, found = scanned_and_found(df, id_col, text_col)
     base = F.transform(F.filter("occ", lambda o: o["kind"] >= 0), lambda o: F.struct(o["kind"].alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
-    joined = table.join(bounded(found, weight=F.size("found")), "uid", "left").select("doc_id", "key", base.alias("base"), "found")
+    joined = table.join(bounded(found), "uid", "left").select("doc_id", "key", base.alias("base"), "found")
     return joined.select("doc_id", "key", "base", F.array_sort(F.concat("base", F.coalesce("found", F.expr("cast(array() as array<struct<kind:int,start:bigint,end:bigint>>)")))).alias("spans"))
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with every span replaced by its kind in brackets, like [email]; overlapping spans become one, named by the first.
 
-    All columns stay; null text stays null.  Texts without spans are passed on as they are.
+    All columns stay, whatever their names; null text stays null.  Texts without spans are passed on as they are; repeated rows are treated alike; an empty
+    table gives an empty result.
     """
-    spans = find_pii(df, id_col, text_col).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).agg(F.first("spans").alias("__spans"))
+    other, key, list_, merged_col = fresh(df, "__id", "__key", "__spans", "__merged")
+    spans = find_pii(df, id_col, text_col).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias(other), F.col("key").alias(key)).agg(F.first("spans").alias(list_))
     spans = materialise(spans, "spans")
-    text = F.col(f"`{text_col}`")
-    joined = df.join(bounded(spans, weight=F.size("__spans")), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__key")), "left")
+    text, m = F.col(f"`{text_col}`"), F.col(merged_col)
+    joined = df.join(bounded(spans), F.col(f"`{id_col}`").eqNullSafe(F.col(other)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(key)), "left")
     # merge overlaps, then cut the text between them; all in the JVM
     zero = F.expr("cast(array() as array<struct<kind:int,start:bigint,end:bigint>>)")
-    by_start = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    by_start = F.array_sort(F.transform(list_, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def add(acc, s):
         last = F.element_at(acc, -1)
@@ -294,9 +373,8 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return F.when(F.size(acc) == 0, F.array(s2)).when(s["start"] < last["end"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(s2)))
 
     merged = F.aggregate(by_start, zero, add)
-    part = F.transform("__merged", lambda s, i: F.concat(F.substring(text, F.when(i == 0, F.lit(0)).otherwise(F.get("__merged", i - 1)["end"]).cast("int") + 1, (s["start"] - F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("__merged", i - 1)["end"])).cast("int")), F.lit("["), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit("]")))
-    done = F.concat(F.array_join(part, ""), F.substring(text, F.element_at("__merged", -1)["end"].cast("int") + 1, F.length(text)))
-    out = joined.withColumn("__merged", F.when(F.col("__spans").isNotNull(), merged))
-    return out.select(*(F.col(f"`{c}`") if c != text_col else F.when(F.col("__merged").isNull(), text).otherwise(done).alias(c) for c in df.columns))
-
-
+    end_before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(m, i - 1)["end"])
+    part = F.transform(m, lambda s, i: F.concat(F.substring(text, end_before(i).cast("int") + 1, (s["start"] - end_before(i)).cast("int")), F.lit("["), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit("]")))
+    done = F.concat(F.array_join(part, ""), F.substring(text, F.element_at(m, -1)["end"].cast("int") + 1, F.length(text)))
+    out = joined.withColumn(merged_col, F.when(F.col(list_).isNotNull(), merged))
+    return out.select(*(F.col(f"`{c}`") if c != text_col else F.when(m.isNull(), text).otherwise(done).alias(c) for c in df.columns))

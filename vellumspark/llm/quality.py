@@ -79,7 +79,11 @@ def base_failed(f: Column) -> Column:
 
 
 def votes(f: Column) -> Column:
-    """The rules, in fixed order.  Each has a band in which it abstains."""
+    """The rules, in fixed order.  Each has a band in which it abstains.
+
+    Two rules look at a document's own length: over 100,000 words the first abstains, and from 2000 words on the last finds no fault with few distinct
+    words, whose share falls in any long text.  Neither depends on the size of the table.
+    """
     n = F.greatest(f["n_words"], F.lit(1))
 
     def rule(good: Column, bad: Column) -> Column:
@@ -141,8 +145,8 @@ def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for each row of ``df``: its id, the counts, votes, ``p_good`` (double), ``base_failed`` and ``kept``.
 
     Documents under 50 words, or with over half of their words in repeated 3-word windows, fail outright; the others stay if the posterior
-    reaches the threshold.  Null text is empty text and fails; repeated rows are judged alike; other columns are not read.
-    The counts are written once; texts are neither shuffled nor read twice.
+    reaches the threshold.  Null text is empty text and fails; repeated rows are judged alike; other columns are not read, whatever their names; an empty
+    table gives an empty result.  The counts are written once; texts are neither shuffled nor read twice.
     """
     f = F.col("f")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), features_column(F.col(f"`{text_col}`")).alias("f"))
@@ -153,7 +157,7 @@ def judge_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def fitted(table: DataFrame) -> dict:
     """The model of a written table's votes."""
-    patterns = materialise(table.groupBy("votes").agg(F.count("*").alias("n")).coalesce(1), "votes")
+    patterns = materialise(table.groupBy("votes").agg(F.count("*").alias("n")), "votes")
     model = fit_rules(patterns)
     discard(patterns)
     return model
@@ -162,7 +166,8 @@ def fitted(table: DataFrame) -> dict:
 def keep_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``df`` that :func:`judge_quality` keeps, all columns as they are.
 
-    Rows are written once beside their votes, so that texts are counted once, ids may be null or repeated, and nothing is joined.
+    Rows are written once beside their votes, so that texts are counted once, ids may be null or repeated, and nothing is joined.  Columns of any name stay
+    apart from those that the rules make; null text fails; an empty table gives an empty result.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
     verdict = let(features_column(F.col(f"`{text_col}`")), lambda f: F.struct(votes(f).alias("votes"), base_failed(f).alias("base_failed")))

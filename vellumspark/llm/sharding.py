@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Upper bound on the table that is broadcast, in slots.
 MOST_SLOTS = 2_000_003
 
@@ -55,9 +57,10 @@ def assign_shards(df: DataFrame, keys: Sequence[str], shards: Sequence[str], slo
     columns named slot or shard are replaced.  Keys may be of any type that casts to a string.
     """
     lookup = [(i, shards[s]) for i, s in enumerate(fill_table(shards, slots))]
-    small = df.sparkSession.createDataFrame(lookup, "__slot long, __shard string").coalesce(1)
-    rows = df.withColumn("__slot", slot_of([F.col(f"`{k}`") for k in keys], slots)).drop("slot", "shard")
-    return rows.join(F.broadcast(small), "__slot").withColumnsRenamed({"__slot": "slot", "__shard": "shard"})
+    slot, shard = fresh(df, "__slot", "__shard")
+    small = df.sparkSession.createDataFrame(lookup, f"{slot} long, {shard} string").coalesce(1)
+    rows = df.withColumn(slot, slot_of([F.col(f"`{k}`") for k in keys], slots)).drop("slot", "shard")
+    return rows.join(F.broadcast(small), slot).withColumnsRenamed({slot: "slot", shard: "shard"})
 
 
 def write_shards(df: DataFrame, keys: Sequence[str], shards: Sequence[str], path: str, slots: int = 65537) -> None:

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, materialise
+from .common import attach, discard, materialise
 
 #: Characters of context, the inverse share of labelled URLs held out, micro-nats a nat, and micro-nats a calibration bin.
 ORDER, FOLDS, MICRO, BIN = 4, 5, 1_000_000, 10_000
@@ -64,13 +64,13 @@ def grams(url: Column) -> Column:
 
 
 def model(urls: DataFrame) -> DataFrame:
-    """(h, c, gain long): log-probability of c after h under accepted less that under rejected, in micro-nats, for every gram of all URLs.
+    """(h, c, gain long, n): log-probability of c after h under accepted less that under rejected, in micro-nats, for every gram of all URLs, and its places.
 
     ``urls`` has url and label (1 accepted, 0 rejected, null neither).  Counts of shorter contexts are sums of those of longer ones, so URLs are
     taken apart once.  What it holds grows with the distinct grams of the corpus.
     """
     one = urls.select(F.explode(grams(F.col("url"))).alias("g"), "label").groupBy("g.h", "g.c")
-    full = materialise(one.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")), "grams")
+    full = materialise(one.agg(F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0"), F.count("*").alias("n")), "grams")
     letters = full.select("c").distinct().count()
     below: DataFrame | None = None
     for k in range(ORDER + 1):
@@ -86,14 +86,16 @@ def model(urls: DataFrame) -> DataFrame:
         table = materialise(both.select("h", "c", *(v.alias(n) for n, v in p.items())), f"order{k}")
         discard(below)
         below = table
-    out = materialise(below.select("h", "c", F.round((F.log("p1") - F.log("p0")) * MICRO).cast("long").alias("gain")), "model")
+    gains = below.select("h", "c", F.round((F.log("p1") - F.log("p0")) * MICRO).cast("long").alias("gain"))
+    out = materialise(gains.join(full.select("h", "c", "n"), ["h", "c"]), "model")
     discard(full, below)
     return out
 
 
 def scored(urls: DataFrame, gains: DataFrame) -> DataFrame:
-    """``urls`` (uid, url, ...) with score: micro-nats a character.  Each URL's grams are summed in the task that takes it apart."""
-    each = urls.select("uid", F.explode(grams(F.col("url"))).alias("g")).select("uid", "g.h", "g.c").join(bounded(gains), ["h", "c"])
+    """``urls`` (uid, url, ...) with score: micro-nats a character.  While the model is within the broadcast bound each URL's grams are summed in the task that
+    takes it apart; beyond it grams that most URLs share are still looked up where they are."""
+    each = attach(urls.select("uid", F.explode(grams(F.col("url"))).alias("g")).select("uid", "g.h", "g.c"), gains, ["h", "c"], weight="n")
     sums = each.groupBy("uid").agg(F.expr("sum(gain) div count(*)").alias("score"))
     return urls.join(sums, "uid", "left")
 
@@ -112,7 +114,7 @@ def filter_urls(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", u
     """One row for each row of ``df``: the id, host, path, rule (null if none fits), verdict, score (micro-nats a character).
 
     A null URL is empty: its host and path are empty and it is judged by the model like any other.  Repeated URLs count each time.  Where rules accept or reject
-    nothing, the models are equal and every other URL is allowed.  Other columns are not read; an empty table gives an empty result.
+    nothing, the models are equal and every other URL is allowed.  Other columns are not read, whatever their names; an empty table gives an empty result.
     """
     url = F.coalesce(F.col(f"`{url_col}`"), F.lit(""))
     parsed = df.select(F.col(f"`{id_col}`").alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
