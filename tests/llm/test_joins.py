@@ -87,6 +87,39 @@ def test_dense_regions_reach_the_recall(spark, monkeypatch, cosine, block):
     assert len(links) >= 200 and found >= 0.95 * len(links)
 
 
+@pytest.mark.parametrize("partitions", [4, 97])
+def test_isolated_pairs_are_found_whatever_the_partitions(spark, partitions):
+    settings = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rng = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((13_000, 64)))
+    aside = rng.standard_normal((1000, 64))
+    aside = unit(aside - (aside * x[:1000]).sum(axis=1, keepdims=True) * x[:1000])
+    x = np.concatenate([x, 0.902 * x[:1000] + math.sqrt(1 - 0.902**2) * aside])
+    ids = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "vec_id long, b binary").repartition(4)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        vectors = ids.mapInPandas(lambda parts: (p.assign(embedding=[np.frombuffer(b) for b in p.b]).drop(columns="b") for p in parts), "vec_id long, embedding array<double>")
+        rows = embed_dedup.near_vectors(vectors).select("vec_id", "component_id", "n_links").toPandas().sort_values("vec_id")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert (rows.component_id.to_numpy()[13_000:] == np.arange(1000)).mean() >= 0.95 and rows.n_links.sum() <= 2000
+
+
+def test_sketches_of_pairs_at_the_threshold_are_close():
+    assert embed_dedup.sketch_limit(0.9) == 20 and embed_dedup.sketch_limit(0.5) < embed_dedup.SKETCH
+    rng = np.random.default_rng(2)
+    x, y = rng.standard_normal((2, 500, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    z = 0.9 * x + math.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    planes = rng.standard_normal((32, embed_dedup.SKETCH))
+    assert ((x @ planes > 0) != (z @ planes > 0)).sum(axis=1).max() <= embed_dedup.sketch_limit(0.9)
+
+
 def test_vectors_empty_table_and_passes(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embed_dedup.near_vectors(df).collect() == []

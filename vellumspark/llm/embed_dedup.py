@@ -1,9 +1,10 @@
 """Operator 6, embedding near-duplicates by sorted projection passes.
 
-Every pass orders the vectors by a key of concatenated random-hyperplane bits and compares each with a bounded window of followers.  How many first
-bits a window covers is measured for each vector: those in regions so dense that the passes don't reach the recall get more passes among themselves, or
-are all compared with one another where that is cheaper.  Verified pairs are united over all passes, each task giving a star a group and not its pairs.
-Within a group that came out, all pairs are then verified in double precision, in blocks, and counted.
+Every pass orders the vectors by a key of concatenated random-hyperplane bits and compares each with a bounded window of followers: first 64 bits of a
+sketch, then, where these are close, the vectors, of which a pass ships a byte a component.  How many first bits a window covers is measured for each
+vector; vectors that the passes don't bring to the recall, be it that their region is dense or that they lay at borders of partitions, where windows are
+cut, get more passes among themselves, or are all compared with one another where that is cheaper.  Close pairs are united over all passes, each task
+giving a star a group and not its pairs.  Within a group that came out, all pairs are then verified in double precision, in blocks, and counted.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from pyspark.sql import functions as F
 from .blocks import block_rows, linked, verified
 from .common import attach, bounded, components, discard, local_roots, map_arrow, materialise
 
-THRESHOLD, WINDOW, BITS, RECALL, SEED = 0.9, 64, 48, 0.95, 11
+THRESHOLD, WINDOW, BITS, SKETCH, RECALL, SEED = 0.9, 256, 48, 64, 0.95, 11
 #: Vectors of a group that a task compares at a time, on either side.
 PER_BLOCK = 1024
+#: Pairs of a window compared at a time.
+STRETCH = 16384
 #: Passes at most that dense regions get at a time.
 MORE_PASSES = 16
-#: What rounding may take off a cosine in single precision.
-ROUNDING = 1e-4
+#: What rounding may take off a cosine in single precision, and that of vectors with a byte a component (three standard deviations at the worst).
+ROUNDING, ROUNDING_BYTES = 1e-4, 0.01
 
 
 def even_bits(n: int, window: int) -> int:
@@ -41,70 +44,110 @@ def passes_for(n: int, threshold: float = THRESHOLD, window: int = WINDOW, recal
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
 
 
+def sketch_limit(threshold: float) -> int:
+    """Bits in which the sketches of a pair at the threshold differ at most, but for one pair in 10,000 (four standard deviations)."""
+    p = math.acos(threshold) / math.pi
+    return math.floor(SKETCH * p + 4 * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a binary column."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[at[0] : at[-1]], at - at[0]
+
+
+def byte_rows(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column of such bytes; ``data`` may be of any type."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def rows_of(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """The rows of equal length that start at some places of a flat array."""
+    return data[starts[:, None] + np.arange(length)]
+
+
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, dim, v): v is the unit vector as doubles; dim is 0 for vectors that link with nothing."""
     src = df.select(F.col(f"`{id_col}`").alias("vec_id"), F.col(f"`{vec_col}`").cast("array<double>").alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            dims, out = [], []
-            for x in b.column("x"):
-                v = np.array([], float) if not x.is_valid or x.values.null_count else x.values.to_numpy(zero_copy_only=False)
-                big = float(np.abs(v).max()) if v.size and np.isfinite(v).all() else 0.0
-                if big > 0:
-                    v = v / big  # so that squares neither overflow nor vanish
-                    v = v / math.sqrt(float(v @ v))
-                dims.append(v.size if big > 0 else 0)
-                out.append(v.astype("<f8").tobytes() if big > 0 else b"")
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], ["vec_id", "dim", "v"])
+            x = b.column("x")
+            sizes = x.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            starts = np.cumsum(sizes) - sizes
+            flat = x.flatten().to_numpy(zero_copy_only=False).astype(float)  # null components become NaN
+            dims, parts = np.zeros(len(x), np.int64), []
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == size)
+                m = rows_of(flat, starts[at], size)
+                big = np.abs(m).max(axis=1)
+                good = np.isfinite(m).all(axis=1) & (big > 0)
+                m = m[good] / big[good, None]  # so that squares neither overflow nor vanish
+                dims[at[good]] = size
+                parts.append((at[good], m / np.sqrt(np.einsum("ij,ij->i", m, m))[:, None]))
+            ends = np.concatenate([[0], np.cumsum(dims)])
+            out = np.empty(ends[-1], "<f8")
+            for at, m in parts:
+                out[ends[at][:, None] + np.arange(m.shape[1])] = m
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(dims.astype(np.int32)), byte_rows(out, ends * 8)], ["vec_id", "dim", "v"])
 
     return map_arrow(src, run, f"vec_id {src.schema['vec_id'].dataType.simpleString()}, dim int, v binary")
 
 
 def projected(vectors: DataFrame, passes: int, first: int = 0) -> DataFrame:
-    """(pass, dim, key, uid, v as single precision) for every pass; ``first`` is the number of passes made before."""
+    """(pass, dim, key, uid, sketch, v with a byte a component) for every pass; ``first`` is the number of passes made before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         powers = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
         for b in batches:
-            dims, uids, vs = b.column("dim").to_numpy(), b.column("uid").to_numpy(), b.column("v").to_pylist()
+            dims, uids = b.column("dim").to_numpy(), b.column("uid").to_numpy()
+            data, offsets = flat_bytes(b.column("v"))
+            flat, starts = data.view("<f8"), offsets[:-1] // 8
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(vs[i] for i in at.tolist()), "<f8").reshape(-1, dim)
+                x = rows_of(flat, starts[at], dim)
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng([SEED, dim, first] if first else [SEED, dim]).standard_normal((dim, passes * BITS))
-                keys = ((x @ planes[dim]) > 0).reshape(len(at), passes, BITS) @ powers
-                small = x.astype("<f4")
-                data = [r.tobytes() for r in small]
+                    planes[dim] = np.random.default_rng([SEED, dim, first] if first else [SEED, dim]).standard_normal((dim, passes * BITS)), np.random.default_rng([SEED + 1, dim]).standard_normal((dim, SKETCH))
+                keys = ((x @ planes[dim][0]) > 0).reshape(len(at), passes, BITS) @ powers
+                sketch = pa.array(np.packbits((x @ planes[dim][1]) > 0, axis=1).view(np.int64).ravel())
+                small = byte_rows(np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype(np.int8), np.arange(len(at) + 1) * dim)
+                n = len(at)
                 for p in range(passes):
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(keys[:, p]), pa.array(uids[at]), pa.array(data, pa.binary())], ["pass", "dim", "key", "uid", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(keys[:, p]), pa.array(uids[at]), sketch, small], ["pass", "dim", "key", "uid", "sketch", "v"])
 
-    return map_arrow(vectors.where("dim > 0").select("uid", "dim", "v"), run, "pass int, dim int, key long, uid long, v binary")
+    return map_arrow(vectors.where("dim > 0").select("uid", "dim", "v"), run, "pass int, dim int, key long, uid long, sketch long, v binary")
 
 
 def window_stars(sorted_rows: DataFrame, threshold: float, window: int, even: int) -> DataFrame:
-    """(u, v, depth): for vectors linked in a window of their partition, v is the smallest of those that u is linked with in a stretch of rows; for each row
-    with whole windows on both sides, v is null and depth the number of first bits that surely bring a vector into a window with u.
+    """(u, v, depth): for vectors close to one another in a window of their partition, v is the smallest of those that u is linked with in a stretch of rows;
+    for each row with whole windows on both sides, v is null and depth the number of first bits that surely bring a vector into a window with u.
 
     Where the row at the window's end links too, the windows are full of one group, and more than ``even`` bits don't count: groups are compared whole.
     """
 
-    def stretch(p: np.ndarray, d: np.ndarray, key: np.ndarray, uid: np.ndarray, v: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    limit = sketch_limit(threshold)
+
+    def stretch(p: np.ndarray, d: np.ndarray, key: np.ndarray, uid: np.ndarray, sketch: np.ndarray, v: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         a_all, b_all = [], []
         tight = np.zeros(uid.size, bool)
+        data, offsets = flat_bytes(v)
+        flat, starts = data.view(np.int8), offsets[:-1]
         for dim in np.unique(d).tolist():
             rows = np.flatnonzero(d == dim)
-            x = np.frombuffer(b"".join(v[i] for i in rows.tolist()), "<f4").reshape(-1, dim)
+            x = rows_of(flat, starts[rows], dim).astype(np.float32)
+            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            bits, pass_ = sketch.view(np.uint64)[rows], p[rows]
             for o in range(1, min(window, len(rows) - 1) + 1):
-                near = np.einsum("ij,ij->i", x[o:], x[:-o]) >= threshold - ROUNDING
-                near &= p[rows[o:]] == p[rows[:-o]]
-                hit = np.flatnonzero(near)
-                a_all.append(rows[hit])
-                b_all.append(rows[hit + o])
-                if o == window:
-                    tight[rows[hit]] = True
+                hit = np.flatnonzero((np.bitwise_count(bits[o:] ^ bits[:-o]) <= limit) & (pass_[o:] == pass_[:-o]))
+                for some in range(0, hit.size, STRETCH):
+                    i = hit[some : some + STRETCH]
+                    i = i[np.einsum("ij,ij->i", x[i], x[i + o]) >= threshold - ROUNDING_BYTES]
+                    a_all.append(rows[i])
+                    b_all.append(rows[i + o])
+                    if o == window:
+                        tight[rows[i]] = True
         whole = slice(window, max(window, uid.size - window))
         common = BITS - np.frexp((key[window:] ^ key[:-window]).astype(float))[1]
         common = np.where(tight[:-window], np.minimum(common, even - 1), common)
@@ -124,7 +167,9 @@ def window_stars(sorted_rows: DataFrame, threshold: float, window: int, even: in
         for b in batches:
             t = pa.Table.from_batches([b])
             t = t if tail is None else pa.concat_tables([tail, t])
-            u, v, at, depth = stretch(*(t.column(c).to_numpy() for c in ("pass", "dim", "key", "uid")), t.column("v").to_pylist())
+            if t.num_rows == 0:
+                continue
+            u, v, at, depth = stretch(*(t.column(c).to_numpy() for c in ("pass", "dim", "key", "uid", "sketch")), t.column("v").combine_chunks())
             if u.size + at.size:
                 null = pa.nulls
                 yield pa.RecordBatch.from_arrays(
@@ -147,7 +192,7 @@ def all_stars(vectors: DataFrame, threshold: float) -> DataFrame:
 
 
 def matrix(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("v").to_pylist()), "<f8").reshape(t.num_rows, -1)
+    return flat_bytes(t.column("v").combine_chunks())[0].view("<f8").reshape(t.num_rows, -1)
 
 
 def found_stars(vectors: DataFrame, n: int, threshold: float, window: int, recall: float) -> DataFrame:
@@ -162,12 +207,13 @@ def found_stars(vectors: DataFrame, n: int, threshold: float, window: int, recal
     while True:
         rows = projected(left, passes, made)
         # the vector's own number ends the sort key, so that equal vectors can be dealt to several tasks
-        found = materialise(window_stars(rows.repartitionByRange("pass", "dim", "key", "uid").sortWithinPartitions("pass", "dim", "key", "uid"), threshold, window, even_bits(n, window)), "windows")
+        ordered = rows.repartitionByRange("pass", "dim", "key", "uid").sortWithinPartitions("pass", "dim", "key", "uid")
+        found = materialise(window_stars(ordered, threshold, window, even_bits(n, window)), "windows")
         made += passes
         parts.append(found.where("v is not null").select("u", "v"))
-        # rows at the borders of partitions are not measured and count as the vector's others
-        rate = F.avg(F.log(1 - F.least(F.lit(1 - 1e-9), F.pow(F.lit(at_threshold), "depth"))))
-        rates = found.where("depth is not null").groupBy(F.col("u").alias("uid")).agg(rate.alias("rate"))
+        # rows at the borders of partitions are not measured and count for nothing, so that the number of partitions takes nothing off the recall
+        rate = F.sum(F.log(1 - F.least(F.lit(1 - 1e-9), F.pow(F.lit(at_threshold), "depth"))))
+        rates = found.where("depth is not null").groupBy(F.col("u").alias("uid")).agg((rate / passes).alias("rate"))
         after = left.join(rates, "uid", "left").withColumn("miss", F.col("miss") + F.coalesce(F.col("rate") * passes, F.lit(0.0)))
         left = materialise(after.where(F.col("miss") > goal), "dense")
         m, wanted = left.agg(F.count("*"), F.avg((F.lit(goal) - F.col("miss")) / F.col("rate"))).first()
@@ -207,7 +253,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         return (total / max(float(np.linalg.norm(total)), 1e-300)).tobytes()
 
     def near(b: pa.RecordBatch) -> list[bool]:
-        return [bool(np.frombuffer(v, "<f8") @ np.frombuffer(p, "<f8") >= half) for v, p in zip(b.column("v").to_pylist(), b.column("pivot").to_pylist(), strict=True)]
+        (v, ends), (p, _) = flat_bytes(b.column("v")), flat_bytes(b.column("pivot"))  # a vector and its pivot are of one length
+        owner = np.repeat(np.arange(b.num_rows), np.diff(ends) // 8)
+        return (np.bincount(owner, v.view("<f8") * p.view("<f8"), b.num_rows) >= half).tolist()
 
     counted = materialise(verified(members, "grp", "size", "uid", "one", PER_BLOCK, ["uid", "v", "one"], linker, middle, near), "counted")
     links = counted.groupBy("uid").agg(F.sum("links").alias("links"))
