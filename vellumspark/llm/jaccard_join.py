@@ -2,8 +2,9 @@
 
 A text's 5-word shingles are embedded as 64 minwise samples.  In each run every node of a tree picks one or two of the samples by its own random choice
 (5/4 on average, one over the similarity), and texts follow the path of the values that they hold there, so that similar texts keep meeting however deep the tree
-goes.  Small buckets are compared by brute force at once; large ones are split again, and at the last depth compared in blocks.  Runs are repeated
-until the target recall.  Groups that come out are verified on whole shingle sets, all pairs, in blocks.
+goes.  Buckets are split until they are small, or, from DEPTH on, until half of their texts are near copies of one pivot.  Small buckets are compared by
+brute force, those of near copies by their core.  Runs are repeated until the target recall.  Groups that come out are verified on whole shingle sets,
+all pairs, in blocks.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import verified
-from .common import CACHES, attach, bounded, components, discard, fresh, map_arrow, materialise
+from .common import CACHES, attach, bounded, components, discard, fresh, grouped, map_arrow, materialise
 
 WORDS, SAMPLES, DEPTH, LIMIT, RECALL, SEED = 5, 64, 4, 64, 0.999, 23
 #: Threshold 0.8 as a fraction, so that it is compared in whole numbers.
 OVER, UNDER = 4, 5
 #: Equal samples below which a pair is not a candidate: four standard deviations under the threshold.
 MIN_EQUAL = int(SAMPLES * (0.8 - 4 * math.sqrt(0.8 * 0.2 / SAMPLES)))
+#: About how many texts of a large bucket are looked at to see whether it holds near copies.
+TIGHT_SAMPLE = 64
 #: Rows of a block on either side: of samples, of whole shingle sets.
 BLOCK_SAMPLES, BLOCK_SETS = 256, 256
 CACHE_WORDS = 100_000
@@ -96,47 +99,90 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, size long, sig array<int>")
 
 
-def runs_for(recall: float = RECALL, depth: int = DEPTH, similarity: float = 0.8) -> int:
-    """Runs until a pair at the threshold has shared a path to the last depth with probability ``recall``."""
+def lost_by_depth(similarity: float, depth: int) -> float:
+    """The probability that a pair that agrees in such a share of the samples shares no path to a depth in one run."""
     lost = 0.0
     for _ in range(depth):
         one = 1 - similarity + similarity * lost
         lost = 0.75 * one + 0.25 * one * one
-    return math.ceil(math.log(1 - recall) / math.log(lost))
+    return lost
+
+
+def runs_for(recall: float = RECALL, depth: int = DEPTH, similarity: float = 0.8) -> int:
+    """Runs until a pair at the threshold has shared a path to ``depth`` with probability ``recall``, on average over the number of samples that it agrees in:
+    all runs see the same samples."""
+    equal = [math.comb(SAMPLES, k) * similarity**k * (1 - similarity) ** (SAMPLES - k) for k in range(SAMPLES + 1)]
+    never = sum(equal[:MIN_EQUAL])
+    runs = 1
+    while never + sum(p * lost_by_depth(k / SAMPLES, depth) ** runs for k, p in enumerate(equal) if k >= MIN_EQUAL) > max(1 - recall, 2 * never):
+        runs += 1
+    return runs
 
 
 def children(path: Column, sig: Column) -> Column:
     """Paths one deeper: every node picks a sample, and one node in four a second one."""
     pick = lambda salt: F.pmod(F.xxhash64(path, F.lit(salt)), F.lit(SAMPLES)).cast("int")
     down = lambda i: F.xxhash64(path, i, F.get(sig, i))
-    more = F.pmod(F.xxhash64(path, F.lit(3)), F.lit(4)) == 0
-    return F.when(more, F.array(down(pick(1)), down(pick(2)))).otherwise(F.array(down(pick(1))))
+    both = F.array_distinct(F.array(down(pick(1)), down(pick(2))))
+    return F.when(F.pmod(F.xxhash64(path, F.lit(3)), F.lit(4)) == 0, both).otherwise(F.array(down(pick(1))))
+
 
+def buckets(texts: DataFrame, runs: int, first: int = 0) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rep, path, n), texts in buckets of two and more that are small or hold near copies; (rep) of texts that went deeper than DEPTH; the last depth.
 
-def buckets(texts: DataFrame, runs: int) -> DataFrame:
-    """(rep, path, n): texts in buckets of two and more that are small, or at the last depth."""
+    ``first`` is the number of runs made before.
+    """
     out: list[DataFrame] = []
-    roots = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(F.lit(SEED), r))
-    live = texts.select("rep", "sig", F.explode(roots).alias("path"))
-    for level in range(1, DEPTH + 1):
-        step = materialise(live.select("rep", F.explode(children(F.col("path"), F.col("sig"))).alias("path")).distinct() if level > 1 else live.select("rep", F.explode(children(F.col("path"), F.col("sig"))).alias("path")), "paths")
+    deep: DataFrame | None = None
+    roots = F.transform(F.sequence(F.lit(first), F.lit(first + runs - 1)), lambda r: F.xxhash64(F.lit(SEED), r))
+    live, level = texts.select("rep", "sig", F.explode(roots).alias("path")), 1
+    while True:
+        step = materialise(live.select("rep", F.explode(children(F.col("path"), F.col("sig"))).alias("path")), "paths")
         sizes = materialise(step.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path_sizes")
         met = materialise(attach(step, sizes, ["path"], weight="n"), "met")
-        discard(step, sizes)
-        if level == DEPTH:
-            out.append(met)
-            break
+        discard(step)
         out.append(met.where(F.col("n") <= LIMIT))
         big = met.where(F.col("n") > LIMIT)
         if big.isEmpty():
             break
-        live = big.select("rep", "path").join(texts.select("rep", "sig"), "rep")
+        if level >= DEPTH:
+            judged = materialise(sizes.where(F.col("n") > LIMIT).join(tight(big, texts), "path", "left").withColumn("tight", F.coalesce("tight", F.lit(False))), "judged")
+            known = materialise(attach(big.select("rep", "path"), judged, ["path"], weight="n"), "known")
+            out.append(known.where("tight").select("rep", "path", "n"))
+            big = known.where("not tight")
+            if big.isEmpty():
+                break
+            if deep is None:
+                deep = materialise(big.select("rep").distinct(), "deep")
+        live, level = big.select("rep", "path").join(texts.select("rep", "sig"), "rep"), level + 1
     whole = out[0]
-    for more in out[1:]:
-        whole = whole.unionByName(more)
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole, deep, level
+
+
+def all_buckets(texts: DataFrame, recall: float) -> DataFrame:
+    """The buckets of as many runs as the recall takes; texts that went deeper, where pairs are lost more often, get more runs among themselves."""
+    runs = runs_for(recall)
+    whole, deep, depth = buckets(texts, runs)
+    while deep is not None and (wanted := runs_for(recall, depth)) > runs:
+        more, deep, level = buckets(materialise(texts.join(deep, "rep", "left_semi"), "deep_texts"), wanted - runs, runs)
+        whole, runs, depth = whole.unionByName(more), wanted, max(depth, level)
     return whole
 
 
+def tight(big: DataFrame, texts: DataFrame) -> DataFrame:
+    """(path, tight) of buckets (rep, path, n): whether half of a bounded sample of their texts surely are candidates of one another."""
+
+    def compute(table: pa.Table) -> pa.RecordBatch:
+        pivot = pa.array([modal(table)] * table.num_rows, pa.binary())
+        near = agreeing(table.append_column("pivot", pivot).combine_chunks().to_batches()[0])
+        return pa.RecordBatch.from_arrays([table.column("path").combine_chunks().slice(0, 1), pa.array([2 * sum(near) >= len(near)])], ["path", "tight"])
+
+    some = big.where(F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("n") / TIGHT_SAMPLE)) == 0).join(texts.select("rep", "sig"), "rep")
+    return grouped(some.select("path", "sig"), ["path"], compute, "path long, tight boolean")
+
+
 def alike(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Pairs whose samples agree often enough to be candidates."""
     a, b = (t.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SAMPLES) for t in (x, y))
@@ -237,7 +283,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the copy with the smallest id stands for a text
     first = rows.where("size > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "uid")).alias("r"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
     texts = materialise(first.select("k1", "k2", F.col("r.uid").alias("rep"), F.col("r.doc_id").alias("doc"), "copies", "sig"), "texts")
-    met = buckets(texts, runs_for(recall))
+    met = all_buckets(texts, recall)
     cand = materialise(met.join(texts.select("rep", "sig"), "rep").withColumn("one", F.lit(1).cast("long")), "bucketed")
     stars = verified(cand, "path", "n", "rep", "one", BLOCK_SAMPLES, ["rep", "sig", "one"], alike, modal, agreeing).select(F.col("rep").alias("u"), F.col("root").alias("v"))
     groups = materialise(components(stars).select(F.col("node").alias("rep"), F.col("root").alias("grp")), "candidate_groups")
