@@ -191,7 +191,7 @@ def test_buckets_are_split_until_they_are_small(spark, monkeypatch):
     rng = random.Random(3)
     n, same = 3000, jaccard_join.SAMPLES // 4  # a quarter of the samples agree in all texts: no pair is a candidate, and few depths part them
     sigs = [[1] * same + [rng.randint(0, 40) for _ in range(jaccard_join.SAMPLES - same)] for _ in range(n)]
-    sigs += [[7] * jaccard_join.SAMPLES for _ in range(100)]  # near copies: no sample parts them
+    sigs += [[77] * jaccard_join.SAMPLES for _ in range(100)]  # near copies: no sample parts them
     texts = spark.createDataFrame(list(enumerate(sigs)), "rep long, sig array<int>")
     got, deep, depth = jaccard_join.buckets(texts, 2)
     sizes = got.groupBy("path").agg(F.count("*").alias("n"), F.max("n").alias("said"), F.max("rep").alias("last"), F.min("rep").alias("first")).collect()

@@ -2,7 +2,7 @@
 
 A text's 5-word shingles are embedded as 64 minwise samples.  In each run every node of a tree picks one or two of the samples by its own random choice
 (5/4 on average, one over the similarity), and texts follow the path of the values that they hold there, so that similar texts keep meeting however deep the tree
-goes.  Buckets are split until they are small, or, from DEPTH on, until half of their texts are near copies of one pivot.  Small buckets are compared by
+goes.  Buckets are split until they are small, or half of their texts are near copies of one pivot.  Small buckets are compared by
 brute force, those of near copies by their core.  Runs are repeated until the target recall.  Groups that come out are verified on whole shingle sets,
 all pairs, in blocks.
 """
@@ -28,6 +28,8 @@ OVER, UNDER = 4, 5
 MIN_EQUAL = int(SAMPLES * (0.8 - 4 * math.sqrt(0.8 * 0.2 / SAMPLES)))
 #: About how many texts of a large bucket are looked at to see whether it holds near copies.
 TIGHT_SAMPLE = 64
+#: Share of these that makes the bucket one of near copies.
+NEAR_SHARE = 0.5
 #: Rows of a block on either side: of samples, of whole shingle sets.
 BLOCK_SAMPLES, BLOCK_SETS = 256, 256
 CACHE_WORDS = 100_000
@@ -139,21 +141,16 @@ def buckets(texts: DataFrame, runs: int, first: int = 0) -> tuple[DataFrame, Dat
     while True:
         step = materialise(live.select("rep", F.explode(children(F.col("path"), F.col("sig"))).alias("path")), "paths")
         sizes = materialise(step.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "path_sizes")
-        met = materialise(attach(step, sizes, ["path"], weight="n"), "met")
-        discard(step)
-        out.append(met.where(F.col("n") <= LIMIT))
-        big = met.where(F.col("n") > LIMIT)
+        copies = tight(step, sizes.where(F.col("n") > LIMIT), texts)
+        judged = materialise(sizes.join(bounded(copies), "path", "left").withColumn("tight", F.coalesce("tight", F.lit(False))), "judged")
+        met = materialise(attach(step, judged, ["path"], weight="n"), "met")
+        discard(step, sizes, copies, judged)
+        out.append(met.where((F.col("n") <= LIMIT) | F.col("tight")).select("rep", "path", "n"))
+        big = met.where((F.col("n") > LIMIT) & ~F.col("tight"))
         if big.isEmpty():
             break
-        if level >= DEPTH:
-            judged = materialise(sizes.where(F.col("n") > LIMIT).join(tight(big, texts), "path", "left").withColumn("tight", F.coalesce("tight", F.lit(False))), "judged")
-            known = materialise(attach(big.select("rep", "path"), judged, ["path"], weight="n"), "known")
-            out.append(known.where("tight").select("rep", "path", "n"))
-            big = known.where("not tight")
-            if big.isEmpty():
-                break
-            if deep is None:
-                deep = materialise(big.select("rep").distinct(), "deep")
+        if level >= DEPTH and deep is None:
+            deep = materialise(big.select("rep").distinct(), "deep")
         live, level = big.select("rep", "path").join(texts.select("rep", "sig"), "rep"), level + 1
     whole = out[0]
     for part in out[1:]:
@@ -171,16 +168,20 @@ def all_buckets(texts: DataFrame, recall: float) -> DataFrame:
     return whole
 
 
-def tight(big: DataFrame, texts: DataFrame) -> DataFrame:
-    """(path, tight) of buckets (rep, path, n): whether half of a bounded sample of their texts surely are candidates of one another."""
+def tight(step: DataFrame, large: DataFrame, texts: DataFrame) -> DataFrame:
+    """(path, tight): whether NEAR_SHARE of a bounded sample of the texts of ``large`` buckets (path, n) of ``step`` (rep, path) surely are candidates of
+    one another."""
 
     def compute(table: pa.Table) -> pa.RecordBatch:
         pivot = pa.array([modal(table)] * table.num_rows, pa.binary())
         near = agreeing(table.append_column("pivot", pivot).combine_chunks().to_batches()[0])
-        return pa.RecordBatch.from_arrays([table.column("path").combine_chunks().slice(0, 1), pa.array([2 * sum(near) >= len(near)])], ["path", "tight"])
+        return pa.RecordBatch.from_arrays([table.column("path").combine_chunks().slice(0, 1), pa.array([sum(near) >= NEAR_SHARE * len(near)])], ["path", "tight"])
 
-    some = big.where(F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("n") / TIGHT_SAMPLE)) == 0).join(texts.select("rep", "sig"), "rep")
-    return grouped(some.select("path", "sig"), ["path"], compute, "path long, tight boolean")
+    some = attach(step, materialise(large, "large"), ["path"], weight="n").where(F.pmod(F.xxhash64("rep", "path"), F.ceil(F.col("n") / TIGHT_SAMPLE)) == 0)
+    sample = materialise(some.select("rep", "path"), "sample")
+    done = materialise(grouped(texts.select("rep", "sig").join(bounded(sample), "rep").select("path", "sig"), ["path"], compute, "path long, tight boolean"), "tight")
+    discard(sample)
+    return done
 
 
 def alike(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
