@@ -186,21 +186,6 @@ def test_runs_reach_the_recall():
     assert jaccard_join.runs_for(0.999) > jaccard_join.runs_for(0.9) >= 2
 
 
-def test_buckets_are_split_until_they_are_small(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LIMIT", 8)
-    rng = random.Random(3)
-    n, same = 3000, jaccard_join.SAMPLES // 4  # a quarter of the samples agree in all texts: no pair is a candidate, and few depths part them
-    sigs = [[1] * same + [rng.randint(0, 40) for _ in range(jaccard_join.SAMPLES - same)] for _ in range(n)]
-    sigs += [[77] * jaccard_join.SAMPLES for _ in range(100)]  # near copies: no sample parts them
-    texts = spark.createDataFrame(list(enumerate(sigs)), "rep long, sig array<int>")
-    got, deep, depth = jaccard_join.buckets(texts, 2)
-    sizes = got.groupBy("path").agg(F.count("*").alias("n"), F.max("n").alias("said"), F.max("rep").alias("last"), F.min("rep").alias("first")).collect()
-    assert all(r["n"] == r["said"] for r in sizes)
-    assert max(r["n"] for r in sizes if r["first"] < n) <= 8 and {r["n"] for r in sizes if r["first"] >= n} == {100}
-    assert depth > jaccard_join.DEPTH and deep.count() > 50 and deep.where(f"rep >= {n}").isEmpty()
-    assert jaccard_join.runs_for(0.999, depth) > jaccard_join.runs_for(0.999)
-
-
 def test_pairs_in_a_large_loose_bucket_are_found(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIMIT", 4)
     rng = random.Random(4)
