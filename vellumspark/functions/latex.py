@@ -14,23 +14,48 @@ SPECIAL = "&%$#_{}"
 BACKSLASH, TILDE, CARET = r"\textbackslash{}", r"\textasciitilde{}", r"\textasciicircum{}"
 #: Fence tags to names of the listings package; empty means none.
 LANGUAGES = {
-    "Go": ("go", "golang"),
-    "Python": ("python", "py"),
-    "Java": ("javascript", "js", "typescript", "ts", "java", "json"),
-    "C": ("c", "csharp", "cs", "rust"),
-    "C++": ("cpp", "c++"),
-    "Ruby": ("ruby", "rb"),
-    "bash": ("bash", "sh", "shell", "zsh", "yaml", "yml", "toml", "markdown", "md", "dockerfile"),
-    "SQL": ("sql",),
-    "HTML": ("html", "css"),
-    "XML": ("xml",),
-    "TeX": ("tex", "latex"),
-    "R": ("r",),
-    "Perl": ("perl",),
-    "PHP": ("php",),
-    "Lua": ("lua",),
-    "make": ("make", "makefile"),
-    "": ("text", "plain"),
+    "go": "Go",
+    "golang": "Go",
+    "python": "Python",
+    "py": "Python",
+    "javascript": "Java",
+    "js": "Java",
+    "typescript": "Java",
+    "ts": "Java",
+    "java": "Java",
+    "c": "C",
+    "cpp": "C++",
+    "c++": "C++",
+    "csharp": "C",
+    "cs": "C",
+    "ruby": "Ruby",
+    "rb": "Ruby",
+    "rust": "C",
+    "bash": "bash",
+    "sh": "bash",
+    "shell": "bash",
+    "zsh": "bash",
+    "sql": "SQL",
+    "html": "HTML",
+    "xml": "XML",
+    "css": "HTML",
+    "json": "Java",
+    "yaml": "bash",
+    "yml": "bash",
+    "toml": "bash",
+    "markdown": "bash",
+    "md": "bash",
+    "tex": "TeX",
+    "latex": "TeX",
+    "r": "R",
+    "perl": "Perl",
+    "php": "PHP",
+    "lua": "Lua",
+    "make": "make",
+    "makefile": "make",
+    "dockerfile": "bash",
+    "text": "",
+    "plain": "",
 }
 
 
@@ -125,10 +150,8 @@ def merge_excess(cells: Column, width: Column) -> Column:
 
 
 def listing_language(tag: Column) -> Column:
-    out = F.lit("")
-    for name, tags in LANGUAGES.items():
-        out = F.when(F.lower(tag).isin(*tags), name).otherwise(out)
-    return out
+    known = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, F.lower(tag)), F.lit(""))
 
 
 def listing_begin(tag: Column) -> Column:

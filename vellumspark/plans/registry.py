@@ -416,7 +416,7 @@ CELLS_SQL = f"list_transform(string_split(trim({T}, '|'), '|'), lambda v: {trim_
 over("table_cells", synth.LINES, {"cells": lambda: F.array_join(latex.table_cells(text.trimmed(c("line"))), "\x1f"), "merged": lambda: F.array_join(latex.merge_excess(latex.table_cells(text.trimmed(c("line"))), F.lit(2)), "\x1f")}, f"array_to_string({CELLS_SQL}, chr(31)) AS cells, array_to_string(CASE WHEN len({CELLS_SQL}) > 2 THEN [{CELLS_SQL}[1], array_to_string({CELLS_SQL}[2:], ' | ')] ELSE {CELLS_SQL} END, chr(31)) AS merged")
 over("image_figure", synth.LINES, {"figure": lambda: latex.figure(text.trimmed(c("line")), F.lit("/base/dir"))}, f"CASE WHEN {T} = '![alt_1](img/../p.png)' THEN {q(chr(92) + 'begin{figure}[htbp]' + chr(10) + chr(92) + 'centering' + chr(10) + chr(92) + 'includegraphics[max width=' + chr(92) + 'textwidth, max height=0.4' + chr(92) + 'textheight]{/base/dir/p.png}' + chr(10) + chr(92) + 'caption{alt' + chr(92) + '_1}' + chr(10) + chr(92) + 'end{figure}')} WHEN {T} = '![](/abs.png)' THEN {q(chr(92) + 'begin{figure}[htbp]' + chr(10) + chr(92) + 'centering' + chr(10) + chr(92) + 'includegraphics[max width=' + chr(92) + 'textwidth, max height=0.4' + chr(92) + 'textheight]{/abs.png}' + chr(10) + chr(92) + 'end{figure}')} END AS figure")
 TAGS = "SELECT o_orderkey AS id, " + synth.choose("o_orderkey", ("go", "Python", "c++", "RUST", "yaml", "text", "", "cobol", "makefile", "JSON", "R", "html")) + " AS tag, o_orderkey % 6 AS level, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderstatus) ELSE " + synth.choose("o_orderkey", ("FINAL", "ACTIVE", "DRAFT", "TEMPLATE", "draft", "CONFIDENTIAL", "INTERNAL", "PUBLIC", "public")) + " END AS word FROM {orders}"
-over("code_language", TAGS, {"opening": lambda: latex.listing_begin(c("tag"))}, f"{q(chr(92) + 'begin{lstlisting}[')} || " + "CASE lower(tag) " + " ".join(f"WHEN '{t}' THEN '{'language=' + n + ',' if n else ''}'" for n, ts in latex.LANGUAGES.items() for t in ts) + " ELSE '' END || 'style=codestyle]' AS opening")
+over("code_language", TAGS, {"opening": lambda: latex.listing_begin(c("tag"))}, f"{q(chr(92) + 'begin{lstlisting}[')} || " + "CASE lower(tag) " + " ".join(f"WHEN '{t}' THEN '{'language=' + n + ',' if n else ''}'" for t, n in latex.LANGUAGES.items()) + " ELSE '' END || 'style=codestyle]' AS opening")
 over("section_command", TAGS, {"command": lambda: text.section_command(c("level"))}, "CASE level WHEN 1 THEN 'section' WHEN 2 THEN 'subsection' WHEN 3 THEN 'subsubsection' ELSE 'paragraph' END AS command")
 over("status_color", TAGS, {"color": lambda: text.status_color(c("word"))}, "CASE WHEN word IN ('FINAL', 'ACTIVE') THEN 'statusgreen' WHEN word = 'DRAFT' THEN 'statusamber' WHEN word = 'TEMPLATE' THEN 'statusblue' ELSE 'medgray' END AS color")
 over("class_label", TAGS, {"label": lambda: text.class_label(c("word"))}, "CASE word WHEN 'CONFIDENTIAL' THEN 'CONFIDENTIAL' WHEN 'INTERNAL' THEN 'INTERNAL USE ONLY' WHEN 'PUBLIC' THEN 'PUBLIC' ELSE '' END AS label")
