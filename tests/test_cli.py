@@ -28,3 +28,30 @@ def test_sinks(spark, tmp_path):
     (pdf,) = sinks.compiled(done).collect()
     assert pdf["pdf_path"].endswith("/a.pdf") and (pdf["pdf"] is None) == (pdf["error"] is not None)
     assert sinks.summarise("a\n! b\nc Missing d") == "! b\nc Missing d"
+
+
+def test_single_files_batches_and_errors(spark, tmp_path, capsys, monkeypatch):
+    seen = []
+
+    def compile_in_place(rendered):
+        seen.append(1)
+        return rendered.selectExpr("path", "latex", "case when latex like '%fails%' then null else cast('PDF' as binary) end as pdf", "case when latex like '%fails%' then 'no luck' end as error")
+
+    monkeypatch.setattr(sinks, "compiled", compile_in_place)
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "x.md").write_text("# T\n![p](img/i.png)")
+    (tmp_path / "in" / "sub" / "bad.md").write_text("# T\nfails")
+    (tmp_path / "in" / "old.xls").write_bytes(b"x")
+    (tmp_path / "in" / "empty.csv").write_text(" ")
+    (tmp_path / "in" / "README.md").write_text("# R")
+    assert cli.main([str(tmp_path / "in" / "x.md"), str(tmp_path / "out" / "y.pdf"), "--tex"]) == 0 and seen == [1]
+    assert (tmp_path / "out" / "y.pdf").read_bytes() == b"PDF" and f"{{{tmp_path}/in/img/i.png}}" in (tmp_path / "out" / "y.tex").read_text()
+    assert cli.main([str(tmp_path / "in" / "README.md")]) == 0 and (tmp_path / "in" / "README.pdf").exists()
+    capsys.readouterr()
+    assert cli.main([str(tmp_path / "in" / "old.xls")]) == 1 and "not supported" in capsys.readouterr().err
+    assert cli.main([str(tmp_path / "in" / "sub" / "bad.md")]) == 1 and "no luck" in capsys.readouterr().err
+    assert cli.main(["--batch", str(tmp_path / "in"), str(tmp_path / "all")]) == 0
+    told = capsys.readouterr()
+    assert "CSV file is empty" in told.err and "no luck" in told.err and "Done: 1/3" in told.out
+    assert (tmp_path / "all" / "x.pdf").exists() and not (tmp_path / "all" / "README.pdf").exists()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
@@ -45,19 +46,27 @@ def options(args: argparse.Namespace) -> render.Options:
     return render.Options(style=args.style, toc=args.toc, no_title_page=args.no_title_page, no_signatures=args.no_signatures, font_size=args.font_size, language=args.language, template=template, **{n: getattr(args, n) for n in TEXTS})
 
 
-def convert(spark: SparkSession, scanned, opts: render.Options, generated: str):
-    """(path, doc, latex) of files without errors, and all files with their errors."""
-    texts = files.canonical(scanned)
+def local(path: Column) -> Column:
+    """A path of this machine without its scheme."""
+    return F.regexp_replace(path, "^file:/*", "/")
+
+
+def convert(texts: DataFrame, opts: render.Options, generated: str) -> DataFrame:
+    """(path, doc, latex) of canonical texts without errors; relative images lie in each document's own folder."""
     docs = markdown.documents(texts.where("error is null"))
-    return render.rendered(docs, opts, generated), texts
+    return render.rendered(docs, opts, generated, files.folder_of(local(F.col("path"))))
 
 
-def save(done, folder: Path, base: Path, tex: bool) -> int:
-    """Write one document after another; the caller asked for files on this machine."""
-    n = 0
-    for r in sinks.compiled(done).join(done.select("path", "latex"), "path").toLocalIterator():
+def save(texts: DataFrame, opts: render.Options, generated: str, name_of: Callable[[Path], Path], tex: bool) -> tuple[int, int]:
+    """Write one document after another, as the caller asked for files on this machine; errors are told.  Returns (PDFs made, documents)."""
+    made = failed = 0
+    for r in texts.where("error is not null").select("path", "error").toLocalIterator():
+        print(f"  {r['path'].removeprefix('file:')}: {r['error']}", file=sys.stderr)
+        failed += 1
+    done = 0
+    for r in sinks.compiled(convert(texts, opts, generated)).toLocalIterator():
         source = Path(r["path"].removeprefix("file:"))
-        name = (folder / (source.relative_to(base) if source.is_relative_to(base) else source.name)).with_suffix(".pdf")
+        name = name_of(source)
         name.parent.mkdir(parents=True, exist_ok=True)
         if tex or r["pdf"] is None:
             name.with_suffix(".tex").write_text(r["latex"], encoding="utf-8")
@@ -65,8 +74,17 @@ def save(done, folder: Path, base: Path, tex: bool) -> int:
             print(f"  {source}: {r['error']}", file=sys.stderr)
         else:
             name.write_bytes(bytes(r["pdf"]))
-            n += 1
-    return n
+            made += 1
+        done += 1
+    return made, done + failed
+
+
+def save_pictures(scanned: DataFrame) -> None:
+    """Write the pictures of spreadsheets beside them, where their texts name them; one that is there already stays."""
+    for r in files.media(scanned).toLocalIterator():
+        at = Path(r["path"].removeprefix("file:")).parent / r["file"]
+        if not at.exists():
+            at.write_bytes(bytes(r["content"]))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -85,15 +103,25 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("vellumspark").getOrCreate()
     today = datetime.date.today().isoformat()
     where = Path(args.batch[0] if args.batch else args.input).resolve()
-    out = Path(args.batch[1]) if args.batch and len(args.batch) > 1 else where / "pdf" if args.batch else Path(args.output).parent if args.output else where.parent
+    if args.batch:
+        out = Path(args.batch[1]) if len(args.batch) > 1 else where / "pdf"
+        name_of = lambda source: (out / source.relative_to(where)).with_suffix(".pdf")
+    else:
+        name = Path(args.output) if args.output else where.with_suffix(".pdf")
+        out, name_of = name.parent, lambda _: name
+    opts = options(args)
     if args.watch and not args.batch:
-        handle = lambda texts, n: save(render.rendered(markdown.documents(texts.where(F.col("path").endswith(where.name) & F.col("error").isNull())), options(args), today), out, where.parent, args.tex)
-        watch.convert_stream(watch.watched(spark, str(where.parent)), handle, str(out / ".watch")).start().awaitTermination()
+
+        def handle(texts: DataFrame, _: int) -> None:
+            save(texts.where(local(F.col("path")) == str(where)), opts, today, name_of, args.tex)
+
+        watch.convert_stream(watch.watched(spark, str(where.parent), batch=False), handle, str(out / ".watch")).start().awaitTermination()
         return 0
-    done, texts = convert(spark, files.scan(spark, str(where), batch=bool(args.batch)), options(args), today)
-    made = save(done, out, where if args.batch else where.parent, args.tex)
-    print(f"Done: {made}/{texts.count()} PDFs in {out}")
-    return 0
+    scanned = files.scan(spark, str(where), batch=bool(args.batch))
+    save_pictures(scanned)
+    made, of = save(files.canonical(scanned).persist(), opts, today, name_of, args.tex)
+    print(f"Done: {made}/{of} PDFs in {out}")
+    return 0 if args.batch or made == of else 1
 
 
 if __name__ == "__main__":

@@ -152,10 +152,11 @@ def latex(doc: Column, bodies: Column, generated: Column, template: str = "") ->
     return let(known_style(doc["style"]), pick)
 
 
-def rendered(docs: DataFrame, options: Options | None = None, generated_date: str = "1970-01-01", input_dir: str = "") -> DataFrame:
-    """``docs`` (with the record in ``doc``) with ``latex``.  The date is a parameter, so that results can be compared."""
+def rendered(docs: DataFrame, options: Options | None = None, generated_date: str = "1970-01-01", input_dir: str | Column = "") -> DataFrame:
+    """``docs`` (with the record in ``doc``) with ``latex``.  The date is a parameter, so that results can be compared;
+    ``input_dir``, the same for all or a column, is the folder of relative images."""
     ship(docs.sparkSession)
     one = docs.withColumn("doc", with_options(F.col("doc"), options or Options()))
     texts = F.concat(F.array("doc.raw_preamble"), F.transform("doc.sections", lambda s: s["content"]))
-    bodied = one.withColumn("bodies", latex_bodies(texts, F.col("doc.footnotes"), F.lit(input_dir)))
+    bodied = one.withColumn("bodies", latex_bodies(texts, F.col("doc.footnotes"), F.lit(input_dir) if isinstance(input_dir, str) else input_dir))
     return bodied.withColumn("latex", latex(F.col("doc"), F.col("bodies"), F.lit(generated_date), (options or Options()).template)).drop("bodies")

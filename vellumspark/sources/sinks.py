@@ -50,13 +50,13 @@ def compile_one(latex: str, times: int) -> tuple[bytes | None, str | None]:
 
 
 def compiled(rendered: DataFrame) -> DataFrame:
-    """(path, pdf_path, pdf binary, error): documents are compiled where they are, and each worker's files stay in its own temporary folder."""
+    """(path, pdf_path, latex, pdf binary, error): documents are compiled where they are, and each worker's files stay in its own temporary folder."""
     ship(rendered.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             done = [compile_one(t, int(n)) for t, n in zip(b["latex"], b["passes"], strict=True)]
-            yield pd.DataFrame({"path": b["path"], "pdf_path": b["pdf_path"], "pdf": [x for x, _ in done], "error": [e for _, e in done]})
+            yield pd.DataFrame({"path": b["path"], "pdf_path": b["pdf_path"], "latex": b["latex"], "pdf": [x for x, _ in done], "error": [e for _, e in done]})
 
     rows = rendered.select("path", output_path(F.col("path")).alias("pdf_path"), "latex", passes(F.col("doc")).alias("passes"))
-    return rows.mapInPandas(run, "path string, pdf_path string, pdf binary, error string")
+    return rows.mapInPandas(run, "path string, pdf_path string, latex string, pdf binary, error string")

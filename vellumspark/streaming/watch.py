@@ -18,11 +18,12 @@ SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 INTERVAL = "500 milliseconds"
 
 
-def watched(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of (path, modified, length, content, format)."""
+def watched(spark: SparkSession, folder: str, batch: bool = True) -> DataFrame:
+    """A stream of (path, modified, length, content, format); of the files that a batch takes only if ``batch``."""
     raw = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").load(folder)
     files = raw.select("path", F.col("modificationTime").alias("modified"), "length", "content")
-    return files.where(in_batch(F.col("path"))).withColumn("format", detect_format(F.col("path")))
+    kept = files.where(in_batch(F.col("path"))) if batch else files
+    return kept.withColumn("format", detect_format(F.col("path")))
 
 
 def convert_stream(files: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> DataStreamWriter:
