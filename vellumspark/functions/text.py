@@ -76,17 +76,17 @@ def collapse_blank_lines(c: Column) -> Column:
 def replace_each(c: Column, pattern: str, groups: int, make: Callable[..., Column]) -> Column:
     """Every match of ``pattern`` replaced by ``make(whole, group 1, ...)``.
 
-    The text is split at the matches and zipped with what is made of them; matches must not be empty.
+    The text is split at the matches and zipped with what is made of them; matches must not be empty.  Groups are read from each match
+    alone, so the pattern must not look around or ask for the text's ends.
     """
 
-    def build(s: Column) -> Column:
-        found = [F.regexp_extract_all(s, F.lit(pattern), F.lit(i)) for i in range(groups + 1)]
-        rows = F.arrays_zip(*(x.alias(f"g{i}") for i, x in enumerate(found)))
-        made = F.transform(rows, lambda r: make(*(r[f"g{i}"] for i in range(groups + 1))))
-        joined = F.zip_with(F.split(s, pattern), F.concat(made, F.array(F.lit(""))), lambda gap, m: F.concat(gap, m))
-        return F.when(F.regexp_like(s, F.lit(pattern)), F.array_join(joined, "")).otherwise(s)
+    def build(gaps: Column, s: Column) -> Column:
+        found = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+        made = F.transform(found, lambda w: make(w, *(F.regexp_extract(w, pattern, i) for i in range(1, groups + 1))))
+        joined = F.zip_with(gaps, F.concat(made, F.array(F.lit(""))), lambda gap, m: F.concat(gap, m))
+        return F.when(F.size(gaps) > 1, F.array_join(joined, "")).otherwise(s)
 
-    return let(c, build)
+    return let(c, lambda s: let(F.split(s, pattern), lambda gaps: build(gaps, s)))
 
 
 def base_name(path: Column) -> Column:

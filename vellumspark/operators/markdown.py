@@ -1,17 +1,17 @@
 """Canonical Markdown to a document record, row by row inside the JVM: no shuffle, no Python.
 
-The one sequential part, which line is what, is a fold that writes one letter a line; everything else is slices of the line array.
+Only fences and headings are looked at one by one; everything else is slices of the line array, so that the work grows with the length of the text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import doc_type, let, needs_signatures, style_for, trimmed
+from ..functions.text import WHITE, doc_type, let, needs_signatures, style_for, trimmed
 
-#: Letters of the fold: content, consumed title, and headings by level.
-CONTENT, TITLE, LEVELS = "c", "t", "1234"
 #: The record's fields, in order.
 FIELDS = (
     *("title", "subtitle", "date", "version", "status", "doc_type", "style", "summary", "author", "language", "classification", "toc", "no_title_page", "has_signatures", "font_size"),
@@ -27,7 +27,8 @@ def rest(a: Column, start: Column | int) -> Column:
 def split_frontmatter(lines: Column) -> Column:
     """struct(front, body): front are the lines between the first line and the next that are ---; none if it is not closed."""
     tail = rest(lines, 2)
-    end = F.when(trimmed(lines[0]) == "---", F.array_position(F.transform(tail, trimmed), "---")).otherwise(0).cast("int")
+    bar = lambda x: x.contains("---") & (trimmed(x) == "---")
+    end = F.when(bar(lines[0]), F.array_position(F.transform(tail, bar), True)).otherwise(0).cast("int")
 
     def cut(e: Column) -> Column:
         none = F.expr("cast(array() as array<string>)")
@@ -64,7 +65,7 @@ def last_value(entries: Column, *keys: str) -> Column:
 
 
 def is_note(line: Column) -> Column:
-    return let(trimmed(line), lambda t: t.startswith("[^") & t.contains("]:"))
+    return line.contains("]:") & let(trimmed(line), lambda t: t.startswith("[^") & t.contains("]:"))
 
 
 def footnotes(lines: Column) -> Column:
@@ -84,82 +85,111 @@ def footnotes(lines: Column) -> Column:
     return let(found, unique)
 
 
-def line_tags(lines: Column, title: Column) -> Column:
-    """struct(title, tags): a letter a line.  Lines of a code fence are content; the first ``# `` line outside gives the title while that is empty."""
-    zero = F.struct(F.lit(False).alias("fence"), F.coalesce(title, F.lit("")).alias("title"), F.lit("").alias("tags"))
+#: Lines that matter to the line machine: code fences, with any white space before them, and headings.
+MARKED = rf"^(?:[{WHITE}]*```|#{{1,4}} )"
+
+
+def headings(lines: Column) -> Column:
+    """array<struct<level, at>> of the heading lines outside of code fences, at from 1.
+
+    Marked lines become a text such as ``1@3;`@7;2@8;`@9;``, in which one expression takes out everything from a fence to the next, both included.
+    """
+    sign = lambda x: F.when(x.startswith("#"), F.length(F.substring_index(x, " ", 1)).cast("string")).otherwise("`")
+    marks = F.transform(lines, lambda x, i: F.when(x.rlike(MARKED), F.concat(sign(x), F.lit("@"), (i + 1).cast("string"), F.lit(";"))))
+    outside = F.regexp_replace(F.array_join(marks, ""), r"`[^`]*+(?:`[^;]*+;|\z)", "")
+    return F.transform(F.filter(F.split(outside, ";"), lambda x: x != ""), lambda x: F.struct(F.substring(x, 1, 1).cast("int").alias("level"), F.substring_index(x, "@", -1).cast("int").alias("at")))
+
+
+def titled(lines: Column, heads: Column, title: Column) -> Column:
+    """struct(title, taken): while the title is empty, level 1 headings are taken for it and are no lines any more."""
+    given = F.coalesce(title, F.lit(""))
+    ones = F.transform(F.filter(heads, lambda h: h["level"] == 1), lambda h: h["at"])
 
-    def step(s: Column, line: Column) -> Column:
-        mark = trimmed(line).startswith("```")
-        level = F.length(F.regexp_extract(line, "^(#{1,4}) ", 1))
-        takes = ~mark & ~s["fence"] & line.startswith("# ") & (s["title"] == "")
-        tag = F.when(mark | s["fence"], CONTENT).when(takes, TITLE).when(level > 0, level.cast("string")).otherwise(CONTENT)
-        return F.struct((s["fence"] != mark).alias("fence"), F.when(takes, F.substring(line, F.lit(3), F.length(line))).otherwise(s["title"]).alias("title"), F.concat(s["tags"], tag).alias("tags"))
+    def pick(at: Column) -> Column:
+        texts = F.transform(at, lambda i: F.substring(lines[i - 1], F.lit(3), F.length(lines[i - 1])))
+        first = F.array_position(F.transform(texts, lambda x: x != ""), True).cast("int")
+        found = let(first, lambda n: F.struct(F.when(n > 0, F.get(texts, n - 1)).otherwise("").alias("title"), F.when(n > 0, F.slice(at, F.lit(1), n)).otherwise(at).alias("taken")))
+        return F.when(given != "", F.struct(given.alias("title"), F.expr("cast(array() as array<int>)").alias("taken"))).otherwise(found)
 
-    return F.aggregate(lines, zero, step)
+    return let(ones, pick)
 
 
-def sections(lines: Column, tags: Column) -> Column:
+def sections(lines: Column, heads: Column, taken: Column) -> Column:
     """struct(preamble, sections): content lines keep their order and each gets a line break; the preamble's are joined."""
-    rows = F.filter(F.zip_with(lines, F.filter(F.split(tags, ""), lambda x: x != ""), lambda line, tag: F.struct(line.alias("line"), tag.alias("tag"))), lambda r: r["tag"] != TITLE)
+    left = F.when(F.size(taken) > 0, F.transform(lines, lambda x, i: F.when(~F.array_contains(taken, i + 1), x))).otherwise(lines)
+    last = F.coalesce(F.try_element_at(taken, F.lit(-1)), F.lit(0))
+    cuts = F.when(F.size(taken) > 0, F.filter(heads, lambda h: (h["level"] > 1) | (h["at"] > last))).otherwise(heads)
 
-    def cut(r: Column) -> Column:
-        at = F.filter(F.transform(r, lambda x, i: F.when(x["tag"] != CONTENT, i + 1)), lambda i: i.isNotNull())
+    def build(x: Column, h: Column) -> Column:
+        start = lambda k: F.coalesce(F.get(h, k)["at"], F.size(x) + 1)
+        content = lambda a, b: F.array_join(F.concat(F.slice(x, a, F.greatest(F.lit(0), b - a)), F.array(F.lit(""))), "\n")
+        section = lambda c, k: F.struct(c["level"].alias("level"), F.ltrim(x[c["at"] - 1], F.lit("# ")).alias("title"), content(c["at"] + 1, start(k + 1)).alias("content"))
+        return F.struct(F.array_join(F.slice(x, F.lit(1), start(F.lit(0)) - 1), "\n").alias("preamble"), F.transform(h, section).alias("sections"))
 
-        def build(h: Column) -> Column:
-            first = F.coalesce(F.get(h, 0), F.size(r) + 1)
-            text = lambda a, b: F.array_join(F.transform(F.slice(r, a, F.greatest(F.lit(0), b - a)), lambda x: F.concat(x["line"], F.lit("\n"))), "")
-            section = lambda i, k: let(r[i - 1], lambda x: F.struct(x["tag"].cast("int").alias("level"), F.ltrim(x["line"], F.lit("# ")).alias("title"), text(i + 1, F.coalesce(F.get(h, k + 1), F.size(r) + 1)).alias("content")))
-            lead = F.array_join(F.transform(F.slice(r, F.lit(1), first - 1), lambda x: x["line"]), "\n")
-            return F.struct(lead.alias("preamble"), F.transform(h, section).alias("sections"))
+    return let(left, lambda x: let(cuts, lambda h: build(x, h)))
 
-        return let(at, build)
 
-    return let(rows, cut)
+def taken_apart(md: Column, build: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """``build`` of the front matter's entries, the lines after it, the title (empty if there is none) and the parts of :func:`sections`."""
+
+    def with_headings(front: Column, body: Column, lines: Column, heads: Column) -> Column:
+        return let(titled(lines, heads, last_value(front, "title")), lambda t: let(sections(lines, heads, t["taken"]), lambda s: build(front, body, t["title"], s)))
+
+    def record(front: Column, body: Column) -> Column:
+        return let(F.filter(body, lambda x: ~is_note(x)), lambda lines: let(headings(lines), lambda heads: with_headings(front, body, lines, heads)))
+
+    return let(lines_of(md), lambda lines: let(split_frontmatter(lines), lambda p: let(frontmatter(p["front"]), lambda e: record(e, p["body"]))))
 
 
 def parse(md: Column) -> Column:
     """The document record of a canonical text."""
+    return taken_apart(md, fields)
 
-    def record(front: Column, body: Column) -> Column:
-        kept = F.filter(body, lambda x: ~is_note(x))
 
-        def with_tags(lines: Column) -> Column:
-            return let(line_tags(lines, last_value(front, "title")), lambda t: let(sections(lines, t["tags"]), lambda s: fields(front, body, t["title"], s)))
+def outline(md: Column) -> Column:
+    """The record's preamble and sections only."""
+    return taken_apart(md, lambda front, body, title, parts: F.struct(parts["preamble"].alias("raw_preamble"), parts["sections"].alias("sections")))
 
-        return let(kept, with_tags)
 
-    return let(F.split(F.coalesce(md, F.lit("")), "\n"), lambda lines: let(split_frontmatter(lines), lambda p: let(frontmatter(p["front"]), lambda e: record(e, p["body"]))))
+def metadata(md: Column) -> Column:
+    """The record's fields that front matter alone decides; the text after it is not parsed."""
+    return let(lines_of(md), lambda lines: let(frontmatter(split_frontmatter(lines)["front"]), lambda e: F.struct(*given_fields(e).values())))
 
 
-def fields(front: Column, body: Column, title: Column, parts: Column) -> Column:
+def lines_of(md: Column) -> Column:
+    return F.split(F.coalesce(md, F.lit("")), "\n")
+
+
+def flag(front: Column, *keys: str) -> Column:
+    return let(last_value(front, *keys), lambda v: (F.lower(v) == "true") | (v == "yes"))
+
+
+def given_fields(front: Column) -> dict[str, Column]:
+    """Fields that need nothing but front matter, by name."""
     text = lambda key, default="": F.coalesce(last_value(front, key), F.lit(default))
-    flag = lambda *keys: let(last_value(front, *keys), lambda v: (F.lower(v) == "true") | (v == "yes"))
-    shown = F.when(title != "", title).otherwise("Document")
-    kind = F.coalesce(last_value(front, "type"), doc_type(shown))
-    style = F.coalesce(last_value(front, "style"), style_for(kind))
-    font = F.when(last_value(front, "font-size", "fontsize") == "10", 10).when(last_value(front, "font-size", "fontsize") == "12", 12).otherwise(11)
-    named = lambda key: text(key).alias(key.replace("-", "_"))
-    return F.struct(
-        shown.alias("title"),
-        named("subtitle"),
-        named("date"),
-        text("version", "1.0").alias("version"),
-        F.upper(text("status", "DRAFT")).alias("status"),
-        kind.alias("doc_type"),
-        style.alias("style"),
-        named("summary"),
-        named("author"),
-        F.coalesce(last_value(front, "language", "lang"), F.lit("")).alias("language"),
-        F.upper(text("classification", "CONFIDENTIAL")).alias("classification"),
-        flag("toc").alias("toc"),
-        F.coalesce(flag("no-title-page", "notitlepage"), F.lit(False)).alias("no_title_page"),
-        (needs_signatures(style, shown) | F.coalesce(flag("signatures"), F.lit(False))).alias("has_signatures"),
-        font.alias("font_size"),
-        *(named(k) for k in ("header-left", "header-right", "footer-left", "footer-right", "margin-top", "margin-bottom", "margin-left", "margin-right", "logo")),
-        parts["preamble"].alias("raw_preamble"),
-        parts["sections"].alias("sections"),
-        footnotes(body).alias("footnotes"),
-    )
+    size = last_value(front, "font-size", "fontsize")
+    out = {k.replace("-", "_"): text(k) for k in ("subtitle", "date", "summary", "author", "logo", "header-left", "header-right", "footer-left", "footer-right", "margin-top", "margin-bottom", "margin-left", "margin-right")}
+    out |= {
+        "version": text("version", "1.0"),
+        "status": F.upper(text("status", "DRAFT")),
+        "language": F.coalesce(last_value(front, "language", "lang"), F.lit("")),
+        "classification": F.upper(text("classification", "CONFIDENTIAL")),
+        "toc": flag(front, "toc"),
+        "no_title_page": F.coalesce(flag(front, "no-title-page", "notitlepage"), F.lit(False)),
+        "font_size": F.when(size == "10", 10).when(size == "12", 12).otherwise(11),
+    }
+    return {k: v.alias(k) for k, v in out.items()}
+
+
+def fields(front: Column, body: Column, title: Column, parts: Column) -> Column:
+    def build(shown: Column, kind: Column) -> Column:
+        style = F.coalesce(last_value(front, "style"), style_for(kind))
+        signed = needs_signatures(style, shown) | F.coalesce(flag(front, "signatures"), F.lit(False))
+        found = {"title": shown, "doc_type": kind, "style": style, "has_signatures": signed, "raw_preamble": parts["preamble"], "sections": parts["sections"], "footnotes": footnotes(body)}
+        both = given_fields(front) | {k: v.alias(k) for k, v in found.items()}
+        return F.struct(*(both[k] for k in FIELDS))
+
+    return let(F.when(title != "", title).otherwise("Document"), lambda shown: let(F.coalesce(last_value(front, "type"), doc_type(shown)), lambda kind: build(shown, kind)))
 
 
 def show_toc(doc: Column) -> Column:
@@ -176,5 +206,9 @@ def documents(df: DataFrame, md_col: str = "md") -> DataFrame:
 
 
 def section_rows(docs: DataFrame, *keys: str) -> DataFrame:
-    """(keys, section_no, level, title, content), section_no from 1."""
-    return docs.select(*keys, F.posexplode("doc.sections").alias("section_no", "s")).select(*keys, (F.col("section_no") + 1).alias("section_no"), "s.level", "s.title", "s.content")
+    """(keys, section_no, level, title, content), section_no from 1.
+
+    The outer form keeps the optimizer from filtering by the number of sections first, for which it would parse each text twice.
+    """
+    rows = docs.select(*keys, F.posexplode_outer("doc.sections").alias("section_no", "s")).where("section_no is not null")
+    return rows.select(*keys, (F.col("section_no") + 1).alias("section_no"), "s.level", "s.title", "s.content")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, let, title_from_filename, trimmed
+from ..functions.text import is_blank, let, steps, title_from_filename, trimmed
 from .markdown import rest
 
 
@@ -30,22 +30,20 @@ def dedented(line: Column) -> Column:
     return F.when(line.startswith("    "), F.substring(line, F.lit(5), F.length(line))).when(line.startswith("\t"), F.substring(line, F.lit(2), F.length(line))).otherwise(line)
 
 
+#: From kinds of lines to their tags, in this order: blank lines inside code, the line that opens it, lines that close it, underlines, second blank lines.
+TAGGING = ((r"(?<=i)b|(?!^)\Gb", "i"), (r"(?<!i)i", "O"), (r"(?<=[Oi])h", "H"), (r"(?<=[Oi])p", "P"), (r"(?<=[Oi])u", "X"), ("u", "x"), (r"(?<=b)b", "x"))
+
+
 def line_tags(lines: Column) -> Column:
-    """A letter a line: O opens code, i is code, b a kept and x a dropped line, h a heading, p text; capitals H, P, X close code first."""
-    zero = F.struct(F.lit(False).alias("code"), F.lit(False).alias("empty"), F.lit("").alias("tags"))
+    """A letter a line: O opens code, i is code, b a kept and x a dropped line, h a heading, p text; capitals H, P, X close code first.
 
-    def step(s: Column, line: Column) -> Column:
-        def judge(t: Column) -> Column:
-            blank, indented = t == "", is_indented(line)
-            opens, closes = ~s["code"] & indented & ~blank, s["code"] & ~indented & ~blank
-            code = opens | (s["code"] & ~closes)
-            plain = F.when(blank, F.when(s["empty"], "x").otherwise("b")).when(is_caps_heading(t), "h").when(is_underline(t), "x").otherwise("p")
-            tag = F.when(opens, "O").when(code, "i").when(closes, F.upper(plain)).otherwise(plain)
-            return F.struct(code.alias("code"), F.when(code, s["empty"]).otherwise(blank).alias("empty"), F.concat(s["tags"], tag).alias("tags"))
+    Each line has a kind of its own (blank, indented, heading, underline, text); what its neighbours make of it is replaced in the text of all kinds.
+    """
 
-        return let(trimmed(line), judge)
+    def kind(line: Column) -> Column:
+        return let(trimmed(line), lambda t: F.when(t == "", "b").when(is_indented(line), "i").when(is_caps_heading(t), "h").when(is_underline(t), "u").otherwise("p"))
 
-    return F.aggregate(lines, zero, step, lambda s: s["tags"])
+    return steps(F.array_join(F.transform(lines, kind), ""), *(lambda s, a=a, b=b: F.regexp_replace(s, a, b) for a, b in TAGGING))
 
 
 def written(line: Column, tag: Column) -> Column:

@@ -283,7 +283,7 @@ o AS (SELECT u, i, CASE WHEN was AND NOT code THEN '```' || chr(10) || chr(10) W
        WHEN {CAPS('s')} THEN '## ' || s || chr(10) || chr(10) WHEN regexp_full_match(s, '={{3,}}|-{{3,}}') THEN '' ELSE s || chr(10) END AS piece, code FROM e),
 j AS (SELECT u, string_agg(piece, '' ORDER BY i) || CASE WHEN max_by(code, i) THEN '```' || chr(10) ELSE '' END AS body FROM o GROUP BY u)
 SELECT id, '---' || chr(10) || 'title: ' || title || chr(10) || 'style: minimal' || chr(10) || '---' || chr(10) || chr(10) || coalesce(body, '') AS md FROM t JOIN f USING (u) LEFT JOIN j USING (u)"""
-add("txt_to_markdown", lambda spark, d: texts(spark, d).select("id", plaintext.txt_to_markdown(c("content"), c("path")).alias("md")).where("md is not null"), TXT_SQL)
+add("txt_to_markdown", lambda spark, d: texts(spark, d).where(~text.is_blank(c("content"))).select("id", plaintext.txt_to_markdown(c("content"), c("path")).alias("md")), TXT_SQL)
 DOC_LINES = "(SELECT doc_id AS id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents)"
 
 
@@ -323,15 +323,15 @@ titles AS (SELECT ids.id, coalesce(nullif(coalesce(meta.title, h1), ''), 'Docume
 MD_WITH = f"WITH {MD_LINES}, {META}, {BODY}"
 add(
     "md_frontmatter",
-    lambda spark, d: md_docs(spark, d).select("id", *(c(f"doc.{x}").alias(x) for x in ("status", "author", "language", "summary", "date", "version", "classification", "font_size", "toc"))),
+    lambda spark, d: synth.frame(spark, d, synth.MARKDOWN).withColumn("doc", markdown.metadata(c("md"))).select("id", *(c(f"doc.{x}").alias(x) for x in ("status", "author", "language", "summary", "date", "version", "classification", "font_size", "toc"))),
     f"{MD_WITH} SELECT ids.id, upper(coalesce(status, 'DRAFT')) AS status, coalesce(author, '') AS author, coalesce(lang, '') AS language, coalesce(summary, '') AS summary, coalesce(date, '') AS date, '1.0' AS version, 'CONFIDENTIAL' AS classification, CASE font WHEN '10' THEN 10 WHEN '12' THEN 12 ELSE 11 END AS font_size, {FLAG('toc')} AS toc FROM ids LEFT JOIN meta USING (id)",
 )
 add("md_title", lambda spark, d: md_docs(spark, d).select("id", c("doc.title").alias("title")), f"{MD_WITH} SELECT id, title FROM titles")
 add("md_preamble", lambda spark, d: md_docs(spark, d).select("id", c("doc.raw_preamble").alias("preamble")), f"{MD_WITH} SELECT ids.id, coalesce(preamble, '') AS preamble FROM ids LEFT JOIN pre USING (id)")
-add("md_sections", lambda spark, d: markdown.section_rows(md_docs(spark, d), "id"), f"{MD_WITH} SELECT id, CAST(sec AS INTEGER) AS section_no, CAST(level AS INTEGER) AS level, title, content FROM secs")
+add("md_sections", lambda spark, d: markdown.section_rows(synth.frame(spark, d, synth.MARKDOWN).withColumn("doc", markdown.outline(c("md"))), "id"), f"{MD_WITH} SELECT id, CAST(sec AS INTEGER) AS section_no, CAST(level AS INTEGER) AS level, title, content FROM secs")
 add(
     "md_footnotes",
-    lambda spark, d: md_docs(spark, d).select("id", F.explode("doc.footnotes").alias("note", "text")),
+    lambda spark, d: md_docs(spark, d).select("id", F.explode_outer("doc.footnotes").alias("note", "text")).where("note is not null"),
     f"WITH {MD_LINES}, n AS (SELECT id, i, substr(s, 3, strpos(s, ']:') - 3) AS note, {trim_('substr(s, strpos(s, %s) + 2)' % q(']:'))} AS t FROM b0 WHERE note) SELECT id, note, max_by(t, i) AS text FROM n WHERE note <> '' GROUP BY id, note",
 )
 add("md_fences", lambda spark, d: md_docs(spark, d).select("id", F.size(F.filter(F.flatten(F.transform("doc.sections", lambda s: F.split(s["content"], "\n"))), lambda x: text.trimmed(x).startswith("```"))).alias("fences")), f"{MD_WITH} SELECT ids.id, CAST(count(*) FILTER (starts_with({trim_('line')}, '```')) AS INTEGER) AS fences FROM ids LEFT JOIN (SELECT * FROM sl WHERE sec > 0) USING (id) GROUP BY ids.id")
